@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing
+from . import media, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
 
@@ -22,7 +26,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_media": op5_media, "op6_packing": op6_packing}
+    return {"op3_simhash": op3_simhash, "op5_media": op5_media, "op6_packing": op6_packing}
 
 
 def oracle_sql() -> dict[str, str]:
