@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, simhash
+from . import media, packing, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels, categories = toxicity.category_labels(table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, toxicity.train(docs, labels, categories))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op5_media": op5_media, "op6_packing": op6_packing}
+    return {"op3_simhash": op3_simhash, "op5_media": op5_media, "op6_packing": op6_packing, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
