@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, simhash, toxicity
+from . import media, packing, pii, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels, categories = toxicity.category_labels(table(spark, sf_dir, "labels"))
@@ -32,7 +36,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op5_media": op5_media, "op6_packing": op6_packing, "op9_toxicity": op9_toxicity}
+    return {"op3_simhash": op3_simhash, "op5_media": op5_media, "op6_packing": op6_packing, "op7_pii": op7_pii, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
