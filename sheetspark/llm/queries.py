@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, pii, simhash, toxicity
+from . import extract, media, packing, pii, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op5_media": op5_media, "op6_packing": op6_packing, "op7_pii": op7_pii, "op9_toxicity": op9_toxicity}
+    return {"op3_simhash": op3_simhash, "op4_extract": op4_extract, "op5_media": op5_media, "op6_packing": op6_packing, "op7_pii": op7_pii, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
