@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, media, mixing, packing, pii, simhash, topk, toxicity
+from . import extract, media, mixing, packing, pii, quality, simhash, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels, categories = toxicity.category_labels(table(spark, sf_dir, "labels"))
@@ -49,7 +53,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_extract": op4_extract, "op5_media": op5_media, "op6_packing": op6_packing, "op7_pii": op7_pii, "op9_toxicity": op9_toxicity, "op10_topk": op10_topk}
+    return {"op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_extract": op4_extract, "op5_media": op5_media, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_topk": op10_topk}
 
 
 OP10_SQL = """
