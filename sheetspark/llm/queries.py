@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, media, mixing, packing, pii, quality, simhash, topk, toxicity
+from . import extract, media, mixing, packing, pii, quality, simhash, topk, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.RULES, label=urlfilter.query_label)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_extract": op4_extract, "op5_media": op5_media, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_topk": op10_topk}
+    return {"op1_urlfilter": op1_urlfilter, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_extract": op4_extract, "op5_media": op5_media, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_topk": op10_topk}
 
 
 OP10_SQL = """
@@ -72,4 +76,4 @@ select query_id, "rank", vec_id, score from ranked where "rank" <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": OP10_SQL}
+    return {"op1_urlfilter": urlfilter.oracle_sql(), "op10_topk": OP10_SQL}
