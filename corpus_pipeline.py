@@ -1,13 +1,61 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a table; it is written as Parquet and reread as the
+next one's documents. Toxic documents go, one document of each group of near-duplicates stays, personal
+data becomes the name of its kind, documents are drawn so that token weights meet their targets, and what
+is left is packed. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sheetspark.llm import mixing, packing, pii, simhash, toxicity
+from sheetspark.llm.common import settle
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject; it is trained on the labelled ones among them."""
+    labels, categories = toxicity.category_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.kept(docs, toxicity.train(docs, labels, categories))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose SimHash fingerprints are linked: that of the smallest id."""
+    return simhash.deduplicated(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in angle brackets; n_chars is that of the new text."""
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with probabilities raked to source, language and topic targets."""
+    return mixing.sample(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Classifiers, fields and packing aren't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from itertools import repeat
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, settle, text_batches
@@ -121,3 +121,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = linked.join(firsts, "label").select(F.col("node").alias("fp"), "component_id")
     own = distinct.join(component, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return found.join(own, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3) -> DataFrame:
+    """``docs`` with one row of each component, that of its smallest id (of rows with the same id, the least text).
+
+    Rows without an id stay, as nothing tells them apart.
+    """
+    near = near_duplicates(docs, id_col, text_col, words_each)
+    key = F.col(f"`{id_col}`")
+    stay = near.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(stay, F.col("_id") == F.col("_stays"))
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
+    single = rows.withColumn("_at", first).where("_at = 1").select("_row.*")
+    return single.unionByName(docs.where(key.isNull()))

@@ -197,6 +197,22 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     return pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
 
+def kept(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` would not reject, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    tokens: list[Tokens] = []
+
+    @F.pandas_udf("boolean")
+    def clean(texts):
+        model = shared.value
+        if not tokens:
+            tokens.append(Tokens(model.used))
+        out = [not isinstance(t, str) or not t.strip() or model.predict(tokens[0].of(t))[-1] < threshold for t in texts]
+        return texts.__class__(out, dtype=bool)
+
+    return docs.where(clean(F.col(f"`{text_col}`")))
+
+
 def category_labels(labels: DataFrame) -> tuple[DataFrame, list[str]]:
     """The test tables' label columns as categories in chain order: low quality, then toxic."""
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic")), ["low_quality", "toxic"]
