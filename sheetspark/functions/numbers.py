@@ -15,7 +15,7 @@ MAX_EXACT = 9007199254740991
 def truncate(c: Column) -> Column:
     """Towards zero, as a whole decimal."""
     d = c.cast(DECIMAL)
-    return F.when(d < 0, F.ceil(d)).otherwise(F.floor(d)).cast(WHOLE)
+    return (d - d % 1).cast(WHOLE)
 
 
 def wrap(c: Column, bits: int) -> Column:

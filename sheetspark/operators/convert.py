@@ -69,6 +69,8 @@ class Registry:
 
     readers: dict[tuple[str, str], Reader] = field(default_factory=dict)
     writers: dict[tuple[str, str], Writer] = field(default_factory=dict)
+    #: What is done last, once, to what any reader of a type gives; such readers give decimals.
+    finish: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
     def register_reader(self, type_name: str, kind: str, build: Reader) -> "Registry":
         self.readers[type_name, kind] = build
@@ -79,17 +81,17 @@ class Registry:
         return self
 
     def copy(self) -> "Registry":
-        return Registry(dict(self.readers), dict(self.writers))
+        return Registry(dict(self.readers), dict(self.writers), dict(self.finish))
 
 
 def default_registry() -> Registry:
     """All built-in converters."""
     r = Registry()
     for t in ("decimal", "bigint", "byte", "short", "int", "long", "float", "double"):
-        narrow = _narrow(t)
-        r.register_reader(t, "B", lambda c, x, n=narrow: n(F.when(c["b"], 1).otherwise(0).cast(numbers.DECIMAL)))
-        r.register_reader(t, "N", lambda c, x, n=narrow: n(c["n"]))
-        r.register_reader(t, "S", lambda c, x, n=narrow: n(_from_text(c["s"], x)))
+        r.finish[t] = _narrow(t)
+        r.register_reader(t, "B", lambda c, x: F.when(c["b"], 1).otherwise(0).cast(numbers.DECIMAL))
+        r.register_reader(t, "N", lambda c, x: c["n"])
+        r.register_reader(t, "S", lambda c, x: _from_text(c["s"], x))
         r.register_writer(t, "cell", lambda v, x: cells.cell("N", n=v))
         r.register_writer(t, "boolean", lambda v, x: cells.cell("B", b=v == 1))
         r.register_writer(t, "string", _number_text(t))
@@ -106,7 +108,7 @@ def default_registry() -> Registry:
     r.register_writer("boolean", "string", lambda v, x: v.cast("string"))
     for t, parse, pattern in (("date", dates.parse_date, "yyyy-MM-dd"), ("datetime", dates.parse_datetime, "yyyy-MM-dd HH:mm:ss")):
         spark_type = SPARK_TYPES[t]
-        r.register_reader(t, "N", lambda c, x, s=spark_type: dates.from_serial(c["n"], x.use_1904).cast(s))
+        r.register_reader(t, "N", lambda c, x, s=spark_type: F.coalesce(c["ts"], dates.from_serial(c["n"], x.use_1904)).cast(s))
         r.register_reader(t, "S", lambda c, x, p=parse: p(c["s"], x.format))
         r.register_reader(t, "D", lambda c, x, s=spark_type: c["ts"].cast(s))
         r.register_writer(t, "cell", lambda v, x: cells.cell("D", ts=v))
@@ -115,7 +117,7 @@ def default_registry() -> Registry:
     r.register_reader("string", "S", lambda c, x: c["s"])
     r.register_reader("string", "B", lambda c, x: c["b"].cast("string"))
     r.register_reader("string", "N", _number_as_text)
-    r.register_reader("string", "D", lambda c, x: dates.format_datetime(c["ts"], x.format or "yyyy-MM-dd HH:mm:ss"))
+    r.register_reader("string", "D", lambda c, x: dates.format_datetime(c["ts"], x.format if _shows_dates(x.format) else "yyyy-MM-dd HH:mm:ss"))
     r.register_reader("string", "E", lambda c, x: c["s"])
     r.register_writer("string", "cell", lambda v, x: cells.cell("S", s=v))
     r.register_writer("string", "number", lambda v, x: cells.cell("N", n=_from_text(v, x)))
@@ -132,12 +134,17 @@ def _number_as_text(c: Column, ctx: Context) -> Column:
     """A date pattern shows the number as a date, a decimal pattern formats it; else what the cell shows."""
     if not ctx.format:
         return cells.display(c)
-    plain = "".join(part for i, part in enumerate(ctx.format.split("'")) if i % 2 == 0)
-    if any(mark in plain for mark in ("y", "d", "h", "H", "s", "%Y", "%d")):
+    if _shows_dates(ctx.format):
         return dates.format_datetime(dates.from_serial(c["n"], ctx.use_1904), ctx.format)
     return numbers.format_decimal(c["n"], ctx.format, ctx.rounding)
 
 
+def _shows_dates(pattern: str | None) -> bool:
+    """Whether a pattern is one of dates: by signs outside quotes that only those have."""
+    plain = "".join(part for i, part in enumerate((pattern or "").split("'")) if i % 2 == 0)
+    return any(mark in plain for mark in ("y", "d", "h", "H", "s", "%Y", "%m", "%H"))
+
+
 def loose_boolean(c: Column) -> Column:
     """Fallback without a registered converter: non-zero is true; true and 1, false and 0 as text; null otherwise."""
     return (
@@ -149,13 +156,15 @@ def loose_boolean(c: Column) -> Column:
 def read_value(c: Column, f: Field, registry: Registry, use_1904: bool = False) -> Column:
     """The value of a cell for a field; null if there is no cell or no converter makes anything of it."""
     ctx = Context(f.format, f.rounding, use_1904)
-    out = F.lit(None).cast(SPARK_TYPES[f.type])
+    finish = registry.finish.get(f.type)
+    kind_of = numbers.DECIMAL if finish else SPARK_TYPES[f.type]
+    out = F.lit(None).cast(kind_of)
     if f.converter is not None:
         return f.converter(c, ctx).cast(SPARK_TYPES[f.type])
     for (t, kind), build in registry.readers.items():
         if t == f.type:
-            out = F.when(c["kind"] == kind, build(c, ctx).cast(SPARK_TYPES[f.type])).otherwise(out)
-    return out
+            out = F.when(c["kind"] == kind, build(c, ctx).cast(kind_of)).otherwise(out)
+    return finish(out) if finish else out
 
 
 def write_value(v: Column, f: Field, registry: Registry, target: str = "cell", use_1904: bool = False) -> Column:
@@ -176,23 +185,24 @@ def bind(rows: DataFrame, columns: list[tuple[str | None, Field]], registry: Reg
     for strings that aren't nullable.
     """
     registry = registry or default_registry()
-    values, errors = [], []
-    for name, f in columns:
+    read, errors, values = [], [], []
+    for i, (name, f) in enumerate(columns):
         if name is None or f.ignore:
             values.append(F.lit(None).cast(SPARK_TYPES[f.type]).alias(f.name))
             continue
-        c = F.col(f"`{name}`")
-        value = read_value(c, f, registry, use_1904)
+        c, value = F.col(f"`{name}`"), F.col(f"_v{i}")
         missing = c.isNull() if f.type == "string" else cells.is_empty(c)
-        place = F.struct(F.lit(name).alias("column"), F.lit(f.name).alias("field"), cells.display(c).alias("value"), F.lit(f"not a {f.type}").alias("message"))
-        errors.append(F.when(~missing & value.isNull(), place))
+        read += [read_value(c, f, registry, use_1904).alias(f"_v{i}"), missing.alias(f"_m{i}"), cells.display(c).alias(f"_d{i}")]
+        place = F.struct(F.lit(name).alias("column"), F.lit(f.name).alias("field"), F.col(f"_d{i}").alias("value"), F.lit(f"not a {f.type}").alias("message"))
+        errors.append(F.when(~F.col(f"_m{i}") & value.isNull(), place))
         if not f.nullable:
             if f.type == "string":
                 value = F.coalesce(value, F.lit(""))
             else:
-                errors.append(F.when(missing, place))
+                errors.append(F.when(F.col(f"_m{i}"), place))
         values.append(value.alias(f.name))
-    bound = rows.select(*keep, *values, (F.coalesce(*errors) if errors else F.lit(None).cast("struct<column:string,field:string,value:string,message:string>")).alias("_error"))
+    # values first, then what is said of them: so each is computed once
+    bound = rows.select(*keep, *read).select(*keep, *values, (F.coalesce(*errors) if errors else F.lit(None).cast("struct<column:string,field:string,value:string,message:string>")).alias("_error"))
     if mode == PERMISSIVE:
         return bound
     if mode == DROP:

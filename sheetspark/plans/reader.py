@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, numbers
 from ..operators import cells as cells_of
 from ..operators import convert
 from ..operators.schema import Schema
@@ -20,18 +19,6 @@ from ..sources import decode
 from ..sources.decode import ReadOptions
 
 
-def typed_cell(c: Column, use_1904: bool = False) -> Column:
-    """A decoded cell as the universal cell struct."""
-    kind = c["kind"]
-    number = kind.isin("N", "T")
-    moment = F.when(kind == "T", dates.from_serial(c["raw"].try_cast("double"), use_1904)).when(kind == "D", F.try_to_timestamp(F.regexp_replace(c["raw"], "Z$", "")).cast("timestamp_ntz"))
-    made = F.struct(
-        F.when(number, "N").otherwise(kind).alias("kind"), F.when(kind.isin("S", "E"), c["raw"]).alias("s"), F.when(number, c["raw"].try_cast(numbers.DECIMAL)).alias("n"),
-        F.when(kind == "B", c["raw"] == "1").alias("b"), moment.alias("ts"), c["display"].alias("display"), c["formula"].alias("formula"),
-    )
-    return F.when(c.isNotNull(), made)
-
-
 class SheetReader:
     """``read(spark, path).sheet("a").schema(s).load()``: every step gives a new reader."""
 
@@ -92,13 +79,12 @@ class SheetReader:
 
     def heads(self) -> DataFrame:
         """The rows of heads, as texts: what a listener of heads would see."""
-        shown = F.transform("cells", lambda c: F.coalesce(c["display"], c["raw"]))
+        shown = F.transform("cells", cells_of.display)
         return self.raw(head_only=True).select("file", "sheet_no", "sheet_name", "_row", shown.alias("labels"))
 
     def cells(self) -> DataFrame:
         """Rows with an array of universal cells."""
-        use_1904 = self.options.use_1904
-        return self.raw().withColumn("cells", F.transform("cells", lambda c: typed_cell(c, use_1904)))
+        return self.raw()
 
     def dynamic(self, form: str = "STRING") -> DataFrame:
         """Rows without a schema, as maps of column index: STRING what cells show, ACTUAL typed values, CELL structs."""
@@ -114,7 +100,7 @@ class SheetReader:
         fields = [f for f in schema.fields if f in schema.used]
         labels = [f.index if f.index is not None else f.labels[-1] for f in fields]
         raw = self.raw(labels)
-        wide = raw.select(*keep, *[typed_cell(F.get("cells", i), self.options.use_1904).alias(f"_c{i}") for i in range(len(fields))])
+        wide = raw.select(*keep, *[F.get("cells", i).alias(f"_c{i}") for i in range(len(fields))])
         columns = [(f"_c{fields.index(f)}" if f in fields else None, f) for f in schema.fields]
         return convert.bind(wide, columns, self._registry, self._mode, self.options.use_1904, keep)
 

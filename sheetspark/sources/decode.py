@@ -150,26 +150,79 @@ def rows(content: bytes, o: ReadOptions, labels: list[str | int] | None = None,
         yield no, name, row, cells
 
 
-SCHEMA = "file string, sheet_no int, sheet_name string, _row long, cells array<struct<kind:string,raw:string,display:string,formula:string>>"
+CELL = "struct<kind:string,s:string,n:decimal(38,18),b:boolean,ts:timestamp_ntz,display:string,formula:string>"
+SCHEMA = f"file string, sheet_no int, sheet_name string, _row long, cells array<{CELL}>"
 
 
 def batches(path: str, content: bytes, o: ReadOptions, labels=None, head_only: bool = False, size: int = 20_000):
-    """Arrow batches of ``rows``."""
+    """Arrow batches of ``rows``, cells as the universal struct."""
     import itertools
 
     stream = rows(content, o, labels, head_only)
     while part := list(itertools.islice(stream, size)):
-        yield _batch(path, part)
+        yield _batch(path, part, o.use_1904)
 
 
-def _batch(path: str, part: list):
+def _decimals(texts: list[str | None]):
+    """Numbers as decimals; those that do not fit are null."""
+    import decimal
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kind = pa.decimal128(38, 18)
+    try:
+        return pc.cast(pa.array(texts, pa.string()), kind)
+    except pa.ArrowInvalid:
+        context, unit, out = decimal.Context(prec=60), decimal.Decimal("1E-18"), []
+        for t in texts:
+            d = None if t is None else decimal.Decimal(t).quantize(unit, decimal.ROUND_HALF_UP, context)
+            out.append(d if d is not None and abs(d) < 10**20 else None)
+        return pa.array(out, kind)
+
+
+def moments(serials, use_1904: bool):
+    """Serial numbers as microseconds since 1970, to the millisecond; below zero and beyond the year 9999 none (the least integer)."""
+    import numpy as np
+
+    x = np.asarray(serials, float)
+    day = np.floor(x)
+    epoch = -24107 if use_1904 else np.where(day < 61, -25568, -25569)  # days from 1970 to 1904-01-01, 1899-12-31, 1899-12-30
+    millis = np.floor((x - day) * 86400000 + 0.5)
+    good = (x >= 0) & (x < 2958466)
+    return np.where(good, ((np.where(good, day, 0) + epoch) * 86400000 + np.where(good, millis, 0)) * 1000, np.iinfo(np.int64).min).astype(np.int64)
+
+
+def _iso(text: str) -> int | None:
+    import datetime as dt
+
+    try:
+        moment = dt.datetime.fromisoformat(text.removesuffix("Z"))
+    except ValueError:
+        return None
+    return int((moment.replace(tzinfo=None) - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+
+
+def _batch(path: str, part: list, use_1904: bool = False):
     import numpy as np
     import pyarrow as pa
 
     flat = [c for *_, cells in part for c in cells]
-    there = [c if c else (None, None, None, None) for c in flat]
-    columns = [pa.array(list(v), pa.string()) for v in zip(*there)] if flat else [pa.array([], pa.string())] * 4
-    struct = pa.StructArray.from_arrays(columns, ["kind", "raw", "display", "formula"], mask=pa.array([c is None for c in flat], pa.bool_()))
+    kinds = [c[0] if c else None for c in flat]
+    number = [c[1] if c and c[0] in "NT" else None for c in flat]
+    ts = np.full(len(flat), np.iinfo(np.int64).min)
+    if "T" in kinds:
+        at = [i for i, k in enumerate(kinds) if k == "T"]
+        ts[at] = moments([float(flat[i][1]) for i in at], use_1904)
+    for i, k in enumerate(kinds):
+        if k == "D" and (moment := _iso(flat[i][1])) is not None:
+            ts[i] = moment
+    columns = [
+        pa.array([("N" if k == "T" else k) for k in kinds], pa.string()), pa.array([c[1] if c and c[0] in "SE" else None for c in flat], pa.string()), _decimals(number),
+        pa.array([c[1] == "1" if c and c[0] == "B" else None for c in flat], pa.bool_()), pa.array(ts, pa.timestamp("us"), mask=ts == np.iinfo(np.int64).min),
+        pa.array([c[2] if c else None for c in flat], pa.string()), pa.array([c[3] if c else None for c in flat], pa.string()),
+    ]
+    struct = pa.StructArray.from_arrays(columns, ["kind", "s", "n", "b", "ts", "display", "formula"], mask=pa.array([k is None for k in kinds], pa.bool_()))
     offsets = np.concatenate([[0], np.cumsum([len(cells) for *_, cells in part])]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
