@@ -193,7 +193,11 @@ def bind(rows: DataFrame, columns: list[tuple[str | None, Field]], registry: Reg
         c, value = F.col(f"`{name}`"), F.col(f"_v{i}")
         missing = c.isNull() if f.type == "string" else cells.is_empty(c)
         read += [read_value(c, f, registry, use_1904).alias(f"_v{i}"), missing.alias(f"_m{i}"), cells.display(c).alias(f"_d{i}")]
-        place = F.struct(F.lit(name).alias("column"), F.lit(f.name).alias("field"), F.col(f"_d{i}").alias("value"), F.lit(f"not a {f.type}").alias("message"))
+        shown = F.col(f"_d{i}")
+        place = {
+            PERMISSIVE: F.struct(F.lit(name).alias("column"), F.lit(f.name).alias("field"), shown.alias("value"), F.lit(f"not a {f.type}").alias("message")),
+            FAIL: F.concat(F.lit(f"cell of {f.name}: not a {f.type}: "), F.coalesce(shown, F.lit(""))), DROP: F.lit(True),
+        }[mode]
         errors.append(F.when(~F.col(f"_m{i}") & value.isNull(), place))
         if not f.nullable:
             if f.type == "string":
@@ -202,13 +206,13 @@ def bind(rows: DataFrame, columns: list[tuple[str | None, Field]], registry: Reg
                 errors.append(F.when(F.col(f"_m{i}"), place))
         values.append(value.alias(f.name))
     # values first, then what is said of them: so each is computed once
-    bound = rows.select(*keep, *read).select(*keep, *values, (F.coalesce(*errors) if errors else F.lit(None).cast("struct<column:string,field:string,value:string,message:string>")).alias("_error"))
+    empty = {PERMISSIVE: "struct<column:string,field:string,value:string,message:string>", FAIL: "string", DROP: "boolean"}[mode]
+    bound = rows.select(*keep, *read).select(*keep, *values, F.coalesce(*errors, F.lit(None).cast(empty)).alias("_error"))
     if mode == PERMISSIVE:
         return bound
-    if mode == DROP:
-        return bound.where("_error is null").drop("_error")
-    said = F.concat(F.lit("cell of "), F.col("_error.field"), F.lit(": "), F.col("_error.message"), F.lit(": "), F.coalesce(F.col("_error.value"), F.lit("")))
-    return bound.where(F.when(F.col("_error").isNotNull(), F.raise_error(said).isNull()).otherwise(True)).drop("_error")
+    said = F.col("_error").isNull() if mode == DROP else F.when(F.col("_error").isNotNull(), F.raise_error(F.col("_error")).isNull()).otherwise(True)
+    # not deterministic, so that the optimiser does not move the filter, and all of the conversions with it, down
+    return bound.where(said & (F.rand(0) >= 0)).drop("_error")
 
 
 def schema_columns(schema: Schema, heads: dict[str, str], names: list[str]) -> list[tuple[str | None, Field]]:
