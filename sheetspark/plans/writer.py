@@ -234,6 +234,34 @@ class SheetWriter:
         self.write_into(book.sheet(self.options.sheet))
         return book.finish()
 
+    def to_xls(self) -> bytes:
+        """A legacy workbook: values, number formats, merges and widths."""
+        from ..sinks import xls
+
+        o, columns = self.options, self.columns()
+        book = xls.Book(o.use_1904)
+        sheet = book.sheet(o.sheet)
+        width = max((i for i, _ in columns), default=-1) + 1
+        grid = head_grid(columns, o.heads) if o.need_head else []
+        for row in grid:
+            sheet.write_row(row)
+        if grid and o.merge_head:
+            for area in head_merges([tuple(g[i] for g in grid) for i in range(width)]):
+                sheet.merge(*area)
+        codes: list = [None] * width
+        for i, f in columns:
+            codes[i] = f.format
+        for n, r in enumerate(self._values().toLocalIterator(prefetchPartitions=True)):
+            values: list = [None] * width
+            for (i, _), v in zip(columns, r):
+                values[i] = v
+            at = sheet.write_row(values, codes)
+            for every, col, wide in o.loop_merges:
+                if n % every == 0:
+                    sheet.merge(at, at + every - 1, col, col + wide - 1)
+        sheet.widths |= o.widths
+        return book.finish()
+
     def save_xlsx(self, path: str) -> None:
         save(self.df.sparkSession, path, iter([self.to_xlsx()]))
 

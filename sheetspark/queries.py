@@ -676,6 +676,12 @@ def _(s, d):
     return read_bytes(s, made).schema(_ORDERS).load().withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("q_xls_round_trip", _ORDERS_SQL)
+def _(s, d):
+    made = write(_orders(s, d), ["o_orderkey"], _ORDERS).to_xls()
+    return read_bytes(s, made).schema(_ORDERS).load().withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+
+
 def _book(s, d) -> bytes:
     book = Workbook()
     nation = table(s, d, "nation")
