@@ -159,3 +159,14 @@ def test_multi_sheet_and_errors(spark):
         book.write(write(nation, ["k"], sheet="three"))
     both = read_sheets(read_bytes(spark, content), {"one": Schema([Field("k", "int"), Field("n")]), 1: Schema([Field("n")])})
     assert sorted((r.sheet_no, r.n) for r in both.collect()) == [(0, "a"), (1, "r")]
+
+
+def test_data_source(spark, tmp_path):
+    from sheetspark.sources.datasource import register
+
+    register(spark)
+    spark.range(20).selectExpr("id", "concat('v', id) as v").repartition(2).write.format("sheet").mode("append").save(f"{tmp_path}/books")
+    rows = spark.read.format("sheet").load(f"{tmp_path}/books")
+    assert sorted(r[0] for r in rows.select("cells").collect() for r in [[r["cells"][1]["s"]]]) == sorted(f"v{i}" for i in range(20))
+    assert rows.where("_row between 2 and 3").count() == 4
+    assert spark.read.format("sheet").option("startRow", 2).option("endRow", 3).load(f"{tmp_path}/books").count() == 4
