@@ -180,3 +180,25 @@ def compound(stream: bytes, name: str = "Workbook") -> bytes:
     head += struct.pack("<IIIIIIIII", 0, fat_sectors, n, 0, 4096, 0xFFFFFFFE, 0, first_difat if difat_sectors else 0xFFFFFFFE, difat_sectors)
     head += struct.pack("<109I", *in_head, *[0xFFFFFFFF] * (109 - len(in_head)))
     return head + stream.ljust(n * 512, b"\0") + directory + struct.pack(f"<{len(fat)}I", *fat) + difat
+
+
+def append(source: bytes, rows, sheet: int | str = 0) -> bytes:
+    """A legacy workbook's values, number formats and merges, with rows behind those of a sheet."""
+    from ..sources.xls import Book as Reader
+
+    old = Reader(source)
+    new = Book(old.date1904)
+    for n, name in enumerate(old.names):
+        target = new.sheet(name)
+        for row, cells in old.rows(n):
+            values: list = [None] * (cells[-1].col + 1)
+            codes: list = [None] * len(values)
+            for c in cells:
+                values[c.col] = c.raw == "1" if c.kind == "B" else float(c.raw) if c.kind == "N" else c.raw
+                codes[c.col] = old.formats[c.style] if c.style < len(old.formats) else None
+            target.write_row(values, codes, row)
+        target.merges += old.merges(n)
+        if sheet in (n, name):
+            for r in rows:
+                target.write_row(list(r))
+    return new.finish()
