@@ -99,10 +99,10 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", text.file_format(F.unhex(head)).alias("kind"))
 
 
-@query("q_placeholders", "select r_regionkey, ['name', '.key', 'list.x'] as found from region")
+@query("q_placeholders", "select r_regionkey, 'name|.key|list.x' as found from region")
 def _(s, d):
     t = F.concat(c("r_name"), F.lit(" {name} \\{no\\} {.key}{list.x}"))
-    return table(s, d, "region").select("r_regionkey", text.placeholders(t).alias("found"))
+    return table(s, d, "region").select("r_regionkey", F.array_join(text.placeholders(t), "|").alias("found"))
 
 
 @query("q_unescape", "select n_nationkey, n_name || chr(13) || 'A_x00' as t from nation")
@@ -159,11 +159,11 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", numbers.format_decimal(v, "'USD '0;(0)").alias("s"))
 
 
-@query("q_pattern_parse", "select o_orderkey, cast(o_orderkey as decimal(38,2)) as v, null::decimal(38,2) as bad from orders")
+@query("q_pattern_parse", "select o_orderkey, cast(o_orderkey as varchar) as v, null::varchar as bad from orders")
 def _(s, d):
     t = numbers.format_decimal(c("o_orderkey"), "#,##0.00")
     back = numbers.parse_by_pattern(F.concat(t, F.lit("abc")), "#,##0.00")
-    return table(s, d, "orders").select("o_orderkey", back.cast("decimal(38,2)").alias("v"), numbers.parse_by_pattern(F.concat(F.lit(" "), t), "#,##0.00").cast("decimal(38,2)").alias("bad"))
+    return table(s, d, "orders").select("o_orderkey", numbers.plain_string(back).alias("v"), numbers.plain_string(numbers.parse_by_pattern(F.concat(F.lit(" "), t), "#,##0.00")).alias("bad"))
 
 
 @query("q_fifteen_digits", "select l_orderkey, l_linenumber, cast(round(l_quantity) as bigint) as q from lineitem")
@@ -210,9 +210,9 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", dates.to_serial(c("o_orderdate").cast("date")).alias("serial"))
 
 
-@query("q_ts_from_serial", "select l_orderkey,l_linenumber, (case when p<61 then date '1899-12-31' else date '1899-12-30' end + p)::date as d from (select l_orderkey,l_linenumber,cast(l_quantity as int)+35 as p from lineitem)")
+@query("q_ts_from_serial", "select l_orderkey,l_linenumber, strftime(case when p<61 then date '1899-12-31' else date '1899-12-30' end + p, '%Y-%m-%d') as d from (select l_orderkey,l_linenumber,cast(l_quantity as int)+35 as p from lineitem)")
 def _(s, d):
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", dates.from_serial(c("l_quantity").cast("int") + 35).cast("date").alias("d"))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", dates.format_datetime(dates.from_serial(c("l_quantity").cast("int") + 35), "yyyy-MM-dd").alias("d"))
 
 
 @query("q_serial_1904", "select o_orderkey, strftime(date '1904-01-01' + cast(o_orderkey % 40000 as int), '%Y-%m-%d') || ' 12:00:00' as t from orders")
@@ -226,10 +226,10 @@ def _(s, d):
     return table(s, d, "events").select("event_id", dates.format_datetime(dates.from_serial(dates.to_serial(whole))).alias("t"))
 
 
-@query("q_date_patterns", "select o_orderkey, cast(o_orderdate as date) as d from orders")
+@query("q_date_patterns", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as d from orders")
 def _(s, d):
     t = F.when(c("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
-    return table(s, d, "orders").select("o_orderkey", dates.parse_date(t).alias("d"))
+    return table(s, d, "orders").select("o_orderkey", dates.format_datetime(dates.parse_date(t), "yyyy-MM-dd").alias("d"))
 
 
 @query("q_datetime_patterns", "select event_id, strftime(ts, '%Y-%m-%d %H:%M') as t from events")
@@ -250,9 +250,9 @@ def _(s, d):
     return table(s, d, "nation").select("n_nationkey", dates.is_date_format(code, c("n_nationkey")).alias("y"))
 
 
-@query("q_java_date", "select n_nationkey, date '1899-12-30' + n_nationkey * 1000 as d from nation")
+@query("q_java_date", "select n_nationkey, strftime(date '1899-12-30' + n_nationkey * 1000, '%Y-%m-%d') as d from nation")
 def _(s, d):
-    return table(s, d, "nation").select("n_nationkey", dates.java_date(c("n_nationkey") * 1000).alias("d"))
+    return table(s, d, "nation").select("n_nationkey", F.date_format(dates.java_date(c("n_nationkey") * 1000), "yyyy-MM-dd").alias("d"))
 
 
 # --- converters -----------------------------------------------------------------------------------
@@ -268,19 +268,22 @@ def _price():
 def _converted(s, d, made, t: str, fmt: str | None = None) -> DataFrame:
     """A cell of orders read as a type."""
     v = read_value(c("cell"), Field("v", t, format=fmt), _REG)
+    if t in ("decimal", "bigint"):
+        v = (v * 100).cast("long")  # hundredths
     return table(s, d, "orders").select("o_orderkey", made.alias("cell")).select("o_orderkey", v.alias("v"))
 
 
 def _number_sql(t: str) -> str:
     if t in convert.BITS:
         return f"cast({_wrap_sql(f'trunc({_PRICE})', convert.BITS[t])} as {_SQL_TYPES[t]})"
-    return {"decimal": f"cast({_PRICE} as decimal(38,18))", "bigint": f"cast(trunc({_PRICE}) as decimal(38,0))", "float": "cast(cast(o_orderkey as double) / 4 as float)", "double": "cast(o_orderkey as double) / 4"}[t]
+    return {"decimal": f"cast({_PRICE} * 100 as bigint)", "bigint": f"cast(trunc({_PRICE}) * 100 as bigint)", "float": "cast(cast(o_orderkey as double) / 4 as float)", "double": "cast(o_orderkey as double) / 4"}[t]
 
 
 for _t in ("decimal", "bigint", "byte", "short", "int", "long", "float", "double"):
-    _sql_t = {"decimal": "decimal(38,18)", "bigint": "decimal(38,0)", "float": "float", "double": "double"}.get(_t) or _SQL_TYPES[_t]
+    _sql_t = {"decimal": "bigint", "bigint": "bigint", "float": "float", "double": "double"}.get(_t) or _SQL_TYPES[_t]
+    _one = 100 if _t in ("decimal", "bigint") else 1
 
-    @query(f"q_cnv_{_t}_boolean", f"select o_orderkey, cast(case when o_orderkey % 3 = 0 then 1 else 0 end as {_sql_t}) as v from orders")
+    @query(f"q_cnv_{_t}_boolean", f"select o_orderkey, cast(case when o_orderkey % 3 = 0 then {_one} else 0 end as {_sql_t}) as v from orders")
     def _(s, d, t=_t):
         return _converted(s, d, cells.cell("B", b=c("o_orderkey") % 3 == 0), t)
 
@@ -301,24 +304,22 @@ for _t in ("decimal", "bigint", "byte", "short", "int", "long", "float", "double
         return table(s, d, "orders").where("o_orderkey < 100").select("o_orderkey", w("string").alias("plain"), w("string", "#,##0.00").alias("formatted"), w("boolean")["b"].alias("flag"))
 
 
-@query("q_cnv_number_pattern", "select o_orderkey, cast(o_orderkey as decimal(38,18)) / 100 as v from orders")
+@query("q_cnv_number_pattern", "select o_orderkey, o_orderkey as v from orders")
 def _(s, d):
-    return _converted(s, d, cells.cell("S", s=F.concat(c("o_orderkey").cast("string"), F.lit("%"))), "decimal", "#%").select("o_orderkey", c("v"))
+    return _converted(s, d, cells.cell("S", s=F.concat(c("o_orderkey").cast("string"), F.lit("%"))), "decimal", "#%")
 
 
-SQL["q_cnv_number_pattern"] = "select o_orderkey, cast(cast(o_orderkey as decimal(20,0)) * 0.01 as decimal(38,18)) as v from orders"
-
 
 @query("q_cnv_boolean_boolean", "select o_orderkey, o_orderkey % 2 = 0 as v from orders")
 def _(s, d):
     return _converted(s, d, cells.cell("B", b=c("o_orderkey") % 2 == 0), "boolean")
 
 
-@query("q_cnv_boolean_number", "select l_orderkey,l_linenumber,(l_linenumber=1) as b, cast(case when l_linenumber = 1 then 1 else 0 end as decimal(38,18)) as n from lineitem")
+@query("q_cnv_boolean_number", "select l_orderkey,l_linenumber,(l_linenumber=1) as b, cast(case when l_linenumber = 1 then 1 else 0 end as bigint) as n from lineitem")
 def _(s, d):
     df = table(s, d, "lineitem").withColumn("cell", cells.cell("N", n=c("l_linenumber")))
     b = read_value(c("cell"), Field("b", "boolean"), _REG)
-    return df.select("l_orderkey", "l_linenumber", b.alias("b"), convert.write_value(b, Field("b", "boolean"), _REG, "number")["n"].alias("n"))
+    return df.select("l_orderkey", "l_linenumber", b.alias("b"), convert.write_value(b, Field("b", "boolean"), _REG, "number")["n"].cast("long").alias("n"))
 
 
 @query("q_cnv_boolean_string", "select event_id, event_id % 3 = 0 as v from events")
@@ -328,11 +329,11 @@ def _(s, d):
 
 
 for _t, _cast in (("date", "date"), ("datetime", "timestamp")):
-    @query(f"q_cnv_{_t}_number", f"select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as v, cast(date_diff('day', date '1899-12-30', cast(o_orderdate as date)) as decimal(38,18)) as n from orders")
+    @query(f"q_cnv_{_t}_number", f"select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as v, cast(date_diff('day', date '1899-12-30', cast(o_orderdate as date)) as bigint) as n from orders")
     def _(s, d, t=_t):
         df = table(s, d, "orders").withColumn("cell", cells.cell("N", n=dates.to_serial(c("o_orderdate").cast("date"))))
         v = read_value(c("cell"), Field("v", t), _REG)
-        return df.select("o_orderkey", F.date_format(v, "yyyy-MM-dd").alias("v"), convert.write_value(v, Field("v", t), _REG, "number")["n"].alias("n"))
+        return df.select("o_orderkey", F.date_format(v, "yyyy-MM-dd").alias("v"), convert.write_value(v, Field("v", t), _REG, "number")["n"].cast("long").alias("n"))
 
     @query(f"q_cnv_{_t}_string", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as v, strftime(o_orderdate, '%d/%m/%Y') as w from orders")
     def _(s, d, t=_t):
@@ -475,10 +476,10 @@ def _(s, d):
     return table(s, d, "nation").select("n_nationkey", F.explode(made).alias("col", "v"))
 
 
-@query("q_dense_cells", "select n_nationkey, [n_name, null, cast(n_regionkey as varchar)] as cells from nation")
+@query("q_dense_cells", "select n_nationkey, n_name || '|?|' || n_regionkey as cells from nation")
 def _(s, d):
     m = F.create_map(F.lit(0), c("n_name"), F.lit(2), c("n_regionkey").cast("string"))
-    return table(s, d, "nation").select("n_nationkey", rows.dense(m).alias("cells"))
+    return table(s, d, "nation").select("n_nationkey", F.array_join(rows.dense(m), "|", "?").alias("cells"))
 
 
 @query("q_jagged_rows", "select n_nationkey, cast(3 as integer) as n, n_name as first, case when n_nationkey % 2 = 0 then cast(n_regionkey as varchar) end as second from nation where n_nationkey % 5 > 0 union all select n_nationkey, 4, n_name, cast(n_regionkey as varchar) from nation where n_nationkey % 5 = 0")
