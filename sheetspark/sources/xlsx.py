@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import posixpath
 import re
@@ -9,7 +10,7 @@ import tempfile
 import zipfile
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 from xml.parsers import expat
 
 MAX_ROWS, MAX_COLUMNS = 1048576, 16384
@@ -32,8 +33,7 @@ class Unsupported(ValueError):
     """Something that is understood but not offered, such as encryption."""
 
 
-@dataclass
-class Cell:
+class Cell(NamedTuple):
     """A cell as stored: kind S string, N number, B boolean, E error, D date text; ``raw`` is its text."""
 
     col: int
@@ -90,6 +90,54 @@ def number_text(raw: str) -> str:
     return repr(float(short)) if "e" in short else short
 
 
+#: A row and a cell as most writers write them.
+_ROW = re.compile(r'<row r="([0-9]{1,7})"[^<>]*(?<!/)>(.*?)</row>', re.S)
+_CELL = re.compile(
+    r'<c r="([A-Z]{1,3})([0-9]{1,7})"(?: s="([0-9]+)")?(?: t="(n|s|b|e|str|inlineStr)")?'
+    r'(?:/>|>(?:<f>([^<]*)</f>)?(?:<v>([^<]*)</v>|<is><t(?: xml:space="preserve")?>([^<]*)</t></is>)?</c>)'
+)
+_COLUMNS: dict[str, int] = {}
+_PLAIN_NUMBER = re.compile(r"-?[0-9]{1,15}")
+
+
+def _entities(text: str) -> str:
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return _ENTITY.sub(_named, text) if "&" in text else text
+
+
+_ENTITY = re.compile(r"&(?:#x([0-9A-Fa-f]+)|#([0-9]+)|(amp|lt|gt|quot|apos));")
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def _named(m) -> str:
+    return chr(int(m[1], 16)) if m[1] else chr(int(m[2])) if m[2] else _NAMED[m[3]]
+
+
+def _plain_cell(m, row: int, strings) -> Cell | None:
+    name, at, style, kind, formula, value, inline = m.groups()
+    col = _COLUMNS.get(name)
+    if col is None:
+        col = _COLUMNS[name] = parse_reference(f"{name}1")[1]
+    if int(at) != row + 1:
+        raise FormatError(f"cell {name}{at} in row {row + 1}")
+    raw = inline if value is None else value
+    if raw is None and formula is None:
+        return None
+    style = int(style) if style else 0
+    if formula is not None:
+        formula = _entities(formula)
+    if kind is None or kind == "n":
+        if not raw:
+            return Cell(col, "S", "", style, formula)
+        return Cell(col, "N", raw if _PLAIN_NUMBER.fullmatch(raw) else number_text(raw), style, formula)
+    if kind == "s":
+        return Cell(col, "S", strings[int(raw)] if raw else "", style, formula)
+    if kind in ("str", "inlineStr"):
+        return Cell(col, "S", unescape(_entities(raw or "")), style, formula)
+    return Cell(col, "B", "1" if raw in ("1", "true") else "0", style, formula) if kind == "b" else Cell(col, "E", raw or "", style, formula)
+
+
 def _local(tag: str) -> str:
     return tag.rsplit(":", 1)[-1]
 
@@ -247,7 +295,77 @@ class Package:
         return self._formats
 
     def rows(self, sheet: int, with_formulas: bool = True) -> Iterator[tuple[int, list[Cell]]]:
-        """(row, cells) of the rows that the sheet stores, in order, one row held at a time."""
+        """(row, cells) of the rows that the sheet stores, in order, a few rows held at a time.
+
+        Rows written in the usual plain way are matched by a pattern; from the first that isn't on, an XML
+        parser reads the sheet, and rows already given are passed over.
+        """
+        last = -1
+        if with_formulas:
+            for row, cells in self._plain_rows(sheet):
+                if cells is None:
+                    break
+                last = row
+                yield row, cells
+            else:
+                return
+        for row, cells in self._parsed_rows(sheet, with_formulas):
+            if row > last:
+                yield row, cells
+
+    def _plain_rows(self, sheet: int) -> Iterator[tuple[int, list[Cell] | None]]:
+        """Rows by pattern; a row of None cells says that there is something else."""
+        strings, rest, begun = self.strings, "", False
+        decoder = codecs.getincrementaldecoder("utf-8")("strict")
+        with self.open(self.sheets[sheet][1]) as stream:
+            while True:
+                chunk = stream.read(1 << 18)
+                try:
+                    rest += decoder.decode(chunk, not chunk)
+                except UnicodeDecodeError:
+                    yield 0, None
+                    return
+                if not begun:
+                    at = rest.find("<sheetData>")
+                    if at < 0:
+                        if chunk and len(rest) < 1 << 20:
+                            continue
+                        yield 0, None
+                        return
+                    rest, begun = rest[at + 11 :], True
+                end = rest.rfind("</row>") + 6
+                at = 0
+                while at < end:
+                    m = _ROW.match(rest, at)
+                    if m is None:
+                        break
+                    body, cells, place = m[2], [], 0
+                    row = int(m[1]) - 1
+                    for c in _CELL.finditer(body):
+                        if c.start() != place:
+                            break
+                        place = c.end()
+                        cell = _plain_cell(c, row, strings)
+                        if cell is not None:
+                            cells.append(cell)
+                    if place != len(body):
+                        break
+                    at = m.end()
+                    yield row, cells
+                if at < end:
+                    yield 0, None
+                    return
+                rest = rest[at:]
+                if "</sheetData>" in rest:
+                    if not rest.startswith("</sheetData>") or "<row" in rest:
+                        yield 0, None
+                    return
+                if not chunk:
+                    yield 0, None
+                    return
+
+    def _parsed_rows(self, sheet: int, with_formulas: bool = True) -> Iterator[tuple[int, list[Cell]]]:
+        """Rows by an XML parser, whatever way they are written."""
         stream = self.open(self.sheets[sheet][1])
         strings = self.strings
         done: list[tuple[int, list[Cell]]] = []

@@ -170,3 +170,23 @@ def test_data_source(spark, tmp_path):
     assert sorted(r[0] for r in rows.select("cells").collect() for r in [[r["cells"][1]["s"]]]) == sorted(f"v{i}" for i in range(20))
     assert rows.where("_row between 2 and 3").count() == 4
     assert spark.read.format("sheet").option("startRow", 2).option("endRow", 3).load(f"{tmp_path}/books").count() == 4
+
+
+def test_plain_and_parsed_rows_agree():
+    import random
+
+    rng, book = random.Random(4), out.Workbook()
+    sheet = book.sheet("s")
+    for i in range(3000):
+        sheet.write_row([rng.choice([None, i, -i / 7, True, "a & <b>", "_x0041_ é\U0001f600", "x\ny", out.Formula("A1<2", "r"), out.Formula("1+1", 2.5)]) for _ in range(6)], row=sheet.next_row + rng.choice([0, 0, 2]))
+    rich = out.Workbook()
+    rich.sheet("s").write_row(["plain"])
+    rich.sheet("s").write_row([out.RichText((("a", None), ("b", out.Style(bold=True))))])
+    rich.sheet("s").write_row([1])
+    for b in (book, rich):
+        package = xlsx.Package(b.finish())
+        parsed = list(package._parsed_rows(0))
+        assert list(package.rows(0)) == parsed and len(parsed) >= 3
+    plain = list(xlsx.Package(book.finish())._plain_rows(0))
+    assert all(cells is not None for _, cells in plain) and len(plain) == 3000
+    assert list(xlsx.Package(rich.finish())._plain_rows(0))[-1] == (0, None)
