@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,16 +52,28 @@ def spark_pattern(pattern: str) -> str:
     return pattern
 
 
+def _parse(c: Column, pattern: str) -> Column:
+    """A text by a pattern, null if it doesn't fit.
+
+    Texts that can't fit a pattern of digits and separators don't reach the parser, whose failures cost much.
+    """
+    parsed = F.try_to_timestamp(c, F.lit(pattern))
+    if not re.fullmatch(r"(?:yyyy|MM|dd|HH|mm|ss|[-/.: ])+", pattern):
+        return parsed
+    digits = re.sub("[yMdHms]", "[0-9]", re.escape(pattern).replace("\\ ", " ").replace("\\-", "-"))
+    return F.when(c.rlike(f"^{digits}$"), parsed)
+
+
 def parse_datetime(c: Column, pattern: str | None = None) -> Column:
     """The first pattern that a text fits as a whole, as timestamp_ntz; null if none does."""
     patterns = [spark_pattern(pattern)] if pattern else DATETIME_PATTERNS
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz") for p in patterns])
+    return F.coalesce(*[_parse(c, p).cast("timestamp_ntz") for p in patterns])
 
 
 def parse_date(c: Column, pattern: str | None = None) -> Column:
     """As ``parse_datetime``, for dates."""
     patterns = [spark_pattern(pattern)] if pattern else DATE_PATTERNS
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)).cast("date") for p in patterns])
+    return F.coalesce(*[_parse(c, p).cast("date") for p in patterns])
 
 
 def format_datetime(c: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:

@@ -165,16 +165,21 @@ def parse_pattern(pattern: str) -> tuple[Part, Part]:
 
 
 def _plain(d: Column, part: Part, mode: str) -> Column:
-    text = round_to(d, part.max_fraction, mode).cast("string")
-    whole, fraction = F.split_part(text, F.lit("."), F.lit(1)), F.substring(F.split_part(text, F.lit("."), F.lit(2)), 1, part.max_fraction)
-    least = max(1, part.min_whole)
-    whole = F.when(F.length(whole) < least, F.lpad(whole, least, "0")).otherwise(whole)
+    """Digits of a number that isn't negative; one chain of replacements, so that the number is computed once."""
+    most, least = part.max_fraction, part.min_fraction
+    text = round_to(d, most, mode).cast(f"decimal(38,{min(most, 18)})").cast("string")
+    if most > 18:
+        text = F.concat(text, F.lit("0" * (most - 18)))
+    if part.min_whole > 1:
+        width = part.min_whole + (most + 1 if most else 0)
+        text = F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
     if part.grouping:
-        whole = F.regexp_replace(whole, rf"(?<=[0-9])(?=(?:[0-9]{{{part.grouping}}})+$)", ",")
-    if not part.max_fraction:
-        return whole
-    kept = F.concat(F.substring(fraction, 1, part.min_fraction), F.regexp_replace(F.substring(fraction, part.min_fraction + 1, part.max_fraction), "0+$", ""))
-    return F.when(kept == "", whole).otherwise(F.concat(whole, F.lit("."), kept))
+        text = F.regexp_replace(text, rf"(?<=[0-9])(?<!\.[0-9]{{0,40}})(?=(?:[0-9]{{{part.grouping}}})+(?:\.|$))", ",")
+    if most > least:
+        text = F.regexp_replace(text, rf"(\.[0-9]{{{least}}}[0-9]*?)0+$", "$1")
+        if not least:
+            text = F.regexp_replace(text, r"\.$", "")
+    return text
 
 
 def format_decimal(c: Column, pattern: str, mode: str = HALF_UP) -> Column:
@@ -183,7 +188,7 @@ def format_decimal(c: Column, pattern: str, mode: str = HALF_UP) -> Column:
     d = c.cast(DECIMAL)
 
     def side(value: Column, part: Part, rounding: str) -> Column:
-        scaled = (value * part.scale).cast(DECIMAL)
+        scaled = (value * part.scale).cast(DECIMAL) if part.scale != 1 else value
         if not part.exponent:
             return F.concat(F.lit(part.prefix), _plain(scaled, part, rounding), F.lit(part.suffix))
         power = F.when(scaled == 0, F.lit(0)).otherwise(F.floor(F.floor(F.log10(scaled.cast("double")) + 1e-12) / part.width) * part.width).cast("int")
