@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetspark.llm import mixing, packing, pii, simhash, toxicity
+from sheetspark.llm import mixing, neardup, packing, pii, toxicity
 from sheetspark.llm.common import settle
 
 
@@ -22,8 +22,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash fingerprints are linked: that of the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group linked by five-word shingles with a similarity of 0.8 or more: that of the smallest id."""
+    return neardup.deduplicated(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
