@@ -11,7 +11,7 @@ from ..sources.xls import BOF, BOOLERR, BOUNDSHEET, CONTINUE, DATEMODE, EOF, FOR
 from ..sources.xlsx import Unsupported
 from .xlsx import MAX_EXACT, serial
 
-MAX_ROWS, MAX_COLUMNS = 65536, 256
+MAX_ROWS, MAX_COLUMNS, MAX_TEXT = 65536, 256, 32767
 _LIMIT = 8224  # bytes of a record's body
 
 
@@ -96,8 +96,10 @@ class Book:
         return self.sheets[-1]
 
     def shared(self, text: str) -> int:
+        if len(text.encode("utf-16-le", "surrogatepass")) > 2 * MAX_TEXT:
+            raise ValueError("a text beyond the limits of a legacy sheet")
         self.uses += 1
-        return self.strings.setdefault(text[:32767], len(self.strings))
+        return self.strings.setdefault(text, len(self.strings))
 
     def style(self, code: str | None) -> int:
         """The cell style of a number format: 15 is the default one."""
