@@ -303,6 +303,17 @@ for _t in ("decimal", "bigint", "byte", "short", "int", "long", "float", "double
         w = lambda target, f=None: convert.write_value(v, Field("v", t, format=f), _REG, target)
         return table(s, d, "orders").where("o_orderkey < 100").select("o_orderkey", w("string").alias("plain"), w("string", "#,##0.00").alias("formatted"), w("boolean")["b"].alias("flag"))
 
+    # the whole table: bytes and shorts wrapped, signs of both kinds
+    _signed = "o_orderkey * (case when o_orderkey % 2 = 0 then -1 else 1 end)"
+    _all = _wrap_sql(_signed, convert.BITS[_t]) if _t in ("byte", "short") else _signed
+
+    @query(f"q_cnv_{_t}_write_all", f"select o_orderkey, cast(v as varchar){chr(32) + '|| ' + repr('.0') if _t in ('float', 'double') else ''} as plain, format('{{:,.2f}}', cast(v as double)) as formatted, v = 1 as flag from (select o_orderkey, cast({_all} as bigint) as v from orders)")
+    def _(s, d, t=_t):
+        n = c("o_orderkey") * F.when(c("o_orderkey") % 2 == 0, -1).otherwise(1)
+        v = (numbers.wrap(n, convert.BITS[t]) if t in ("byte", "short") else n).cast(SPARK_TYPES[t])
+        w = lambda target, f=None: convert.write_value(v, Field("v", t, format=f), _REG, target)
+        return table(s, d, "orders").select("o_orderkey", w("string").alias("plain"), w("string", "#,##0.00").alias("formatted"), w("boolean")["b"].alias("flag"))
+
 
 @query("q_cnv_number_pattern", "select o_orderkey, o_orderkey as v from orders")
 def _(s, d):
