@@ -1,11 +1,8 @@
 import pytest
 
-from sheetspark import queries as catalog
 from sheetspark.sinks import xls as out
 from sheetspark.sources import xls
 
-TYPES = "decimal bigint byte short int long float double".split()
-
 
 @pytest.mark.parametrize("text", ["z" * 32_768, "\U0001f600" * 16_384])
 def test_text_beyond_a_legacy_cell_is_refused(text):
