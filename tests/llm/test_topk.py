@@ -46,3 +46,47 @@ def test_table(spark):
     few = df.where("vec_id in (50, 51, 52)")
     assert topk.search(few, few.where("vec_id = 50")).count() == 2
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_a_block_of_ties_keeps_k_rows_a_query():
+    vectors = np.tile(np.arange(1, 9), (4096, 1))
+    ids, q = np.arange(4096), np.arange(0, 4096, 80)[:50]
+    best = topk.Best(50, 5)
+    own = q[:, None] == ids
+    i, row, score = topk.Index(vectors).search(vectors[q], own, 5)
+    best.add(i, ids[row], score)
+    assert len(best.query) == 250
+    assert [int(x) for x in best.ids[best.query == 0]] == [1, 2, 3, 4, 5]
+
+
+def test_ties_over_blocks(spark):
+    df = spark.range(700).selectExpr("id as vec_id", "array(1.0D, 0.5D) as embedding").repartition(3)
+    got = topk.search(df, df.where("vec_id % 50 = 0"), 5, block=64, at_once=4).collect()
+    assert len(got) == 70
+    for q in range(0, 700, 50):
+        assert sorted(r["vec_id"] for r in got if r["query_id"] == q) == [x for x in range(6) if x != q][:5]
+
+
+def test_several_passes(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, df.where("vec_id % 10 = 0"), 3, block=32, at_once=3, most=1)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, {i for i in range(0, 200, 10)}, 3)
+
+
+def test_a_floor_lets_blocks_stop_early():
+    rng = np.random.default_rng(1)
+    x = np.rint(rng.normal(size=(20_000, 64)) * 32).astype(np.int64)
+    q, best, stops, seen = x[:100], topk.Best(100, 5), 0, 0
+    for begin in range(0, len(x), 4096):
+        part = x[begin : begin + 4096]
+        index = topk.Index(part)
+        own = np.arange(100)[:, None] == np.arange(begin, begin + len(part))
+        i, row, score = index.search(q, own, 5, floor=best.floor)
+        best.add(i, row + begin, score)
+        stops, seen = stops + index.stops, seen + index.seen
+    exact = q @ x.T
+    exact[np.arange(100), np.arange(100)] = topk.LEAST
+    assert (np.sort(exact, 1)[:, -5:] == np.sort(best.score.reshape(100, 5), 1)).all()
+    assert stops > 0.9 * seen
