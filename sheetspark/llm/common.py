@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,15 +15,23 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set; on a
+    cluster without one executors would write to disks of their own, which is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        require_local(spark.sparkContext.master)
         named = tempfile.mkdtemp(prefix="sheetspark-checkpoints-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def require_local(master: str) -> None:
+    """An error unless the master is one machine."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set, and {master} is not one machine")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -38,6 +47,25 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").alias(own) for own, name in columns.items()])
 
 
+#: A key with more than one part in ``PARTS`` of all rows is hot, and its rows are dealt over ``SALTS`` tasks.
+PARTS, SALTS = 1024, 32
+
+
+def spread_join(rows: DataFrame, single: DataFrame, key: str, parts: int = PARTS, salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``single`` (a row for each key) so that no key's rows meet in one task.
+
+    Hot keys, fewer than ``parts`` by their definition, are sent to all tasks; rows that have one are dealt
+    by a hash of the row, and its row of ``single`` is there once for each salt.
+    """
+    total = rows.count()
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * parts > F.lit(max(total, 16 * parts))).select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    right = single.join(hot, key, "left").withColumn("_salt", F.explode(each)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def text_batches(batches: Iterator, limit: int = 8 << 20) -> Iterator:
     """Slices of Arrow batches whose last column, a text, has about ``limit`` bytes at most.
 

@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints of word shingles, Golay keys, verified links, components.
 
-A fingerprint is cut into segments of 23, 23 and 18 bits. Of two bits that differ at most, one of the
+A fingerprint is cut into segments of 22, 21 and 21 bits. Of two bits that differ at most, one of the
 three segments has none, and any other has two at most, so for one of three pairings (whole segment,
-Golay key of the next) both fingerprints have a key in common. Keys with two fingerprints or more give
+Golay key of the next, filled up to 23 bits) both fingerprints have a key in common. Keys with two fingerprints or more give
 the candidates. Small buckets are joined and every pair verified; a bucket of more than ``SMALL``
 fingerprints is not: its members go, each with the 64 fingerprints one bit away, to a table in which
 two fingerprints meet exactly if they differ in at most two bits, and each links to the least one
@@ -15,16 +15,16 @@ from __future__ import annotations
 
 from itertools import repeat
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, settle, text_batches
+from .common import pick, settle, spread_join, text_batches
 from .graph import components
 
 #: Fingerprints of a bucket that are compared with each other; more go the other, equally exact way.
 SMALL = 16
 #: First bit and bits of the segments of a fingerprint.
-SEGMENTS = ((0, 23), (23, 23), (46, 18))
+SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 
 def fingerprint(text: str | None, words_each: int = 3) -> int:
@@ -76,7 +76,8 @@ def golay_keys(distinct: DataFrame) -> DataFrame:
             signed = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             parts = [(signed.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1) for at, bits in SEGMENTS]
             for k, whole in enumerate(parts):
-                near, there = golay().keys(parts[(k + 1) % 3])
+                at = (k + 1) % 3
+                near, there = golay().keys(parts[at] << (23 - SEGMENTS[at][1]))
                 keys = (k << 40) | (whole[:, None] << 12) | near
                 yield pa.RecordBatch.from_arrays([pa.array(keys[there]), pa.array(np.broadcast_to(signed[:, None], there.shape)[there])], ["key", "fp"])
 
@@ -91,7 +92,7 @@ def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
     """
     keys = settle(golay_keys(distinct))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    held = settle(keys.join(sizes, "key"))
+    held = settle(spread_join(keys, sizes, "key"))
     few = held.where(F.col("n") <= small).select("key", "fp")
     pairs = (
         few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key")
@@ -116,22 +117,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = settle(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = components(links(distinct))
     # a label is a fingerprint of the component; its document is the first of all its fingerprints
-    linked = labels.join(distinct, labels.node == distinct.fp).select("node", "label", "first")
+    linked = settle(labels.join(distinct, labels.node == distinct.fp).select("node", "label", "first"))
     firsts = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    component = linked.join(firsts, "label").select(F.col("node").alias("fp"), "component_id")
-    own = distinct.join(component, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return found.join(own, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3) -> DataFrame:
-    """``docs`` with one row of each component, that of its smallest id (of rows with the same id, the least text).
-
-    Rows without an id stay, as nothing tells them apart.
-    """
-    near = near_duplicates(docs, id_col, text_col, words_each)
-    key = F.col(f"`{id_col}`")
-    stay = near.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), key.alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(stay, F.col("_id") == F.col("_stays"))
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
-    single = rows.withColumn("_at", first).where("_at = 1").select("_row.*")
-    return single.unionByName(docs.where(key.isNull()))
+    component = spread_join(linked, firsts, "label").select(F.col("node").alias("fp"), "component_id")
+    own = settle(distinct.join(component, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
+    return spread_join(found, own, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
