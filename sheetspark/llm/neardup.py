@@ -1,12 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: every pair at ``SIMILARITY`` or above is found.
+"""Near-duplicates of texts by SimHash with Golay keys, completed to every pair of ``SIMILARITY`` or above.
 
-Shingles are put in one order for all texts, common ones last. Of two sets with a Jaccard similarity of
-0.8, each has four fifths of its shingles in common with the other, so they meet in at least ``MEET`` of
+Texts are sets of five-word shingles. Sets with the same SimHash, or with ones that link by their Golay keys
+(``simhash.links``), are candidates. Of two sets with a Jaccard similarity of 0.8 about ten of 64 bits
+differ, which no number of Golay keys that can be afforded reaches, so SimHash alone can't give all pairs;
+the rest come from an exact join.
+
+For it shingles are put in one order for all texts, common ones last. Of two sets with a similarity of 0.8,
+each has four fifths of its shingles in common with the other, so they meet in at least ``MEET`` of
 the first ``n - ceil(0.8 n) + MEET`` shingles of each (in all that must be common, if those are fewer).
-These are the keys. Pairs that meet in buckets of at most ``SMALL`` only are candidates if they meet often
-enough; in a larger bucket members are compared with one of them first, and then those that are in
-different components still, so a large group of copies costs in proportion to its members. Candidates are
-verified on the shingles themselves, and components follow from the links.
+These are the keys. A pair that meets in buckets of more than ``SMALL`` sets no more often than the one
+of the two that has fewer such keys must meet in smaller ones as often as is left, so it is a candidate there;
+or both have at least as many such keys as they must meet in, and meet in the first few of these. Only
+those are compared in large buckets: with one member first, and then those that are in different components
+still, so a large group of copies costs in proportion to its members. All candidates are verified on the
+shingles themselves, and components follow from the links.
 
 Which shingles count as common only decides the order, so it has no bearing on the result.
 """
@@ -18,7 +25,8 @@ from itertools import repeat
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, text_batches
+from . import simhash
+from .common import settle, spread_join, text_batches
 from .graph import components
 
 WORDS = 5
@@ -70,8 +78,8 @@ def heavy_slots(texts: DataFrame) -> dict[int, int]:
 
         counts = np.zeros(SLOTS, np.int64)
         for batch in text_batches(batches):
-            for text in batch.column(0).to_pylist():
-                np.add.at(counts, (hashes(text) % SLOTS).astype(np.int64), 1)
+            made = [hashes(text) for text in batch.column(0).to_pylist()]
+            counts += np.bincount((np.concatenate(made) % SLOTS).astype(np.int64), minlength=SLOTS)
         at = np.flatnonzero(counts > 4 * counts.mean() + 3)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
 
@@ -79,8 +87,18 @@ def heavy_slots(texts: DataFrame) -> dict[int, int]:
     return {r["slot"]: r["n"] for r in sums.orderBy(F.desc("n"), "slot").limit(HEAVY).collect()}
 
 
+def simhash_of(hashes_of_shingles) -> int:
+    """The signed SimHash of a set of shingle hashes: a bit is 1 if it is in over half of them."""
+    import numpy as np
+
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(hashes_of_shingles), 1 << 16):
+        total += np.unpackbits(hashes_of_shingles[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes_of_shingles), bitorder="little").view(np.int64)[0])
+
+
 def sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, th, node, n, keys) of rows (doc_id, th, text): node stands for the set of n shingles, 0 for the empty one."""
+    """(doc_id, th, node, n, fp, keys) of rows (doc_id, th, text): node stands for the set of n shingles, 0 for the empty one; fp is its SimHash."""
     import numpy as np
 
     heavy = np.zeros(SLOTS, np.int64)
@@ -95,20 +113,21 @@ def sets(texts: DataFrame) -> DataFrame:
 
         order = shared.value
         for batch in text_batches(batches):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = hashes(text)
                 n = len(h)
                 first = h[np.argsort(order[(h % SLOTS).astype(np.int64)], kind="stable")][: n - needed(n) + MEET] if n else h
                 nodes.append(xxh64_intdigest(h.tobytes(), 7) if n else 0)
                 sizes.append(n)
+                prints.append(simhash_of(h))
                 keys.append(first.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
             signed = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed, pa.array(sizes, pa.int32()), lists], ["doc_id", "th", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed, pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), lists], ["doc_id", "th", "node", "n", "fp", "keys"])
 
-    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, node long, n int, keys array<long>")
+    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, node long, n int, fp long, keys array<long>")
 
 
 def verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
@@ -119,7 +138,7 @@ def verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFra
 
         name, held = None, set()
         for batch in text_batches(batches):
-            a, b, a_text, b_text = (c.to_pylist() for c in batch.columns)
+            a, b, b_text, a_text = (c.to_pylist() for c in batch.columns)
             keep = []
             for i in range(len(a)):
                 if a[i] != name:
@@ -131,9 +150,11 @@ def verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFra
     pairs = settle(pairs)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     some = distinct.join(nodes, "node").select("node", "th")
-    told = settle(texts.select("th", "text").join(some, "th").groupBy("node").agg(F.first("text").alias("text")))
+    ids = texts.select("th")
+    told = settle(spread_join(texts.select("th", "text"), some, "th", ids).groupBy("node").agg(F.first("text").alias("text")))
     first, second = (told.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
-    return settle(pairs.join(first, "a").join(second, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"))
+    both = spread_join(spread_join(pairs, second, "b"), first, "a", pairs)
+    return settle(both.select("a", "b", "b_text", "a_text").mapInArrow(run, "a long, b long"))
 
 
 def _close(a: str, b: str):
@@ -142,37 +163,57 @@ def _close(a: str, b: str):
     return low * SIMILARITY[1] >= high * SIMILARITY[0]
 
 
+def seeds(distinct: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints are the same or link by their Golay keys, as stars around the least of each fingerprint."""
+    first = settle(distinct.groupBy("fp").agg(F.min("node").alias("first")))
+    same = spread_join(distinct.select("node", "fp"), first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(first.select("fp"))
+    one, other = (first.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_node")) for x in "ab")
+    linked = near.join(one, "a").join(other, "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    return same.unionByName(linked)
+
+
+def least_met(n):
+    """Keys in which a set of ``n`` shingles meets any that is similar enough, at least."""
+    return F.least(F.lit(MEET), F.ceil(n * SIMILARITY[0] / SIMILARITY[1]))
+
+
 def links(distinct: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFrame:
     """(a, b): links between sets that connect all that are similar enough."""
-    keys = distinct.select("node", "n", F.explode("keys").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    held = settle(keys.join(sizes, "key"))
-    one, other = (held.where(F.col("members") <= small).select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    least = F.ceil(F.greatest("na", "nb") * SIMILARITY[0] / SIMILARITY[1])
+    keys = settle(distinct.select("node", "n", F.explode("keys").alias("key")))
+    sizes = settle(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    held = settle(spread_join(keys, sizes, "key"))
+    # keys of a set with large buckets, and the first of them in which it meets any that it meets in such only
+    crowded = settle(held.where(F.col("members") > small))
+    crowds = settle(crowded.groupBy("node").agg(F.count("*").alias("crowds")))
+    few = settle(held.where(F.col("members") <= small).join(crowds, "node", "left").select("key", "node", "n", F.coalesce("crowds", F.lit(0)).alias("crowds")))
+    one, other = (few.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("crowds").alias(f"c{x}")) for x in "ab")
     pairs = (
         one.join(other, "key").where(F.col("a") < F.col("b")).where(_close("na", "nb"))
-        .groupBy("a", "b").agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        .where(F.col("met") >= F.least(F.lit(MEET), least)).select("a", "b")
+        .groupBy("a", "b").agg(F.count("*").alias("met"), F.first(F.greatest("na", "nb")).alias("n"), F.first(F.least("ca", "cb")).alias("crowds"))
+        .where(F.col("met") >= least_met(F.col("n")) - F.col("crowds")).select("a", "b")
     )
-    found = verified(pairs, distinct, texts)
-    large = held.where(F.col("members") > small).select("key", "node", "n")
+    found = verified(pairs.unionByName(seeds(distinct)).distinct(), distinct, texts)
+    at = F.row_number().over(Window.partitionBy("node").orderBy("members", "key"))
+    large = crowded.join(crowds, "node").withColumn("at", at).where(F.col("at") <= F.col("crowds") - least_met(F.col("n")) + 1).select("key", "node", "n")
+    large = settle(large)
+    if not large.head(1):
+        return found
     for turn in range(ROUNDS + 1):
         label = components(found)
-        now = large.join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+        now = settle(large.join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
         apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("p")).where("low < high")
-        large = settle(now.join(apart.select("key", "p"), "key"))
+        large = settle(spread_join(now, apart.select("key", "p"), "key"))
         if not large.head(1):
             return found
         if turn == ROUNDS:
             break
         compared = large.where("label <> p.label").select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
         more = verified(compared.where(_close("na", "nb")).select("a", "b").distinct(), distinct, texts)
-        new = bool(more.head(1))
+        if not more.head(1):
+            break
         found = found.unionByName(more)
         large = large.select("key", "node", "n")
-        if not new:
-            large = large.join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-            break
     one, other = (large.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
     rest = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).where(_close("na", "nb")).select("a", "b").distinct()
     return found.unionByName(verified(rest, distinct, texts))
@@ -181,14 +222,17 @@ def links(distinct: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFram
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
     """``docs`` with one row of each component, that of its smallest id (of its rows with that id, the least text).
 
-    Texts without words are a component. Rows without an id stay, as nothing tells them apart.
+    Defined cases: texts without words are a component; of ties and repeated rows one stays; rows of one id
+    with texts of different components all stay; rows without an id stay, as nothing tells them apart; an
+    empty table gives no rows; other columns are carried along.
     """
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     texts = docs.select(key.cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("string").alias("text"))
     found = settle(sets(texts))
-    distinct = settle(found.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    distinct = settle(found.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     label = components(links(distinct, texts, small))
-    rows = found.where("doc_id is not null").join(label, "node", "left").select("doc_id", "th", F.coalesce("label", "node").alias("label"))
+    every = settle(distinct.select("node").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    rows = settle(spread_join(found.where("doc_id is not null").select("doc_id", "th", "node"), every, "node").select("doc_id", "th", "label"))
     least = rows.groupBy("label").agg(F.min("doc_id").alias("doc_id"))
     stay = settle(rows.join(least, ["label", "doc_id"]).groupBy("label", "doc_id", "th").agg(F.count("*").alias("rows")))
     single = stay.groupBy("label").agg(F.sum("rows").alias("all")).where(F.col("all") == 1).select("label")
