@@ -35,8 +35,9 @@ SIMILARITY = (4, 5)
 MEET, SMALL = 4, 16
 #: Counters that shingles fall into for their order, and how many of them are told apart.
 SLOTS, HEAVY = 1 << 18, 1 << 16
-#: Rounds in which large buckets are thinned out before all that is left is compared.
-ROUNDS = 6
+#: Rounds in which large buckets are thinned out before all that is left is compared, as long as one in
+#: ``WORTH`` comparisons finds a link.
+ROUNDS, WORTH = 6, 20
 
 
 def shingles(text: str | None, words_each: int = WORDS) -> list[bytes]:
@@ -209,10 +210,11 @@ def links(distinct: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFram
         if turn == ROUNDS:
             break
         compared = large.where("label <> p.label").select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-        more = verified(compared.where(_close("na", "nb")).select("a", "b").distinct(), distinct, texts)
-        if not more.head(1):
-            break
+        compared = settle(compared.where(_close("na", "nb")).select("a", "b").distinct())
+        more = verified(compared, distinct, texts)
         found = found.unionByName(more)
+        if more.count() * WORTH < compared.count():
+            break
         large = large.select("key", "node", "n")
     one, other = (large.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
     rest = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).where(_close("na", "nb")).select("a", "b").distinct()
