@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from sheetspark.llm import mixing, pii, simhash, toxicity
+from sheetspark.llm import mixing, neardup, pii, toxicity
 from sheetspark.llm.common import settle, tokenizer_path
 from sheetspark.llm.wordpiece import WordIds
 
@@ -45,21 +45,23 @@ def test_stages_against_brute_force(spark, folder):
     assert not {r[0] for r in want} & set(range(0, 400, 8)) and len(want) >= 380
 
     single = settle(corpus_pipeline.near_dedup_stage(spark, clean, folder))
+    # the stage's contract: five-word shingles, a Jaccard similarity of 0.8 or more, one row of each component
     left = sorted(clean.collect(), key=lambda r: (r.doc_id, r.text or ""))
-    prints = [(r.doc_id, simhash.fingerprint(r.text)) for r in left]
-    label = {i: i for i, _ in prints}
+    grams = [set(neardup.shingles(r.text)) for r in left]
+    label = list(range(len(left)))
 
     def root(i):
         while label[i] != i:
             i = label[i]
         return i
 
-    for a, fa in prints:
-        for b, fb in prints:
-            if a < b and (fa ^ fb).bit_count() <= 2:
-                x, y = root(a), root(b)
+    for i, a in enumerate(grams):
+        for j in range(i):
+            b = grams[j]
+            if not a and not b or a and b and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = root(i), root(j)
                 label[max(x, y)] = min(x, y)
-    assert sorted(r.doc_id for r in single.collect()) == sorted({root(i) for i in label}) and single.columns == COLUMNS
+    assert sorted(r.doc_id for r in single.collect()) == sorted(left[i].doc_id for i in {root(i) for i in label}) and single.columns == COLUMNS
 
     hidden = settle(corpus_pipeline.pii_stage(spark, single, folder))
     model = pii.train()
