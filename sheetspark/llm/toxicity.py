@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,28 +34,51 @@ PENALTY = 0.003
 THRESHOLD = 0.5
 
 _CORE = re.compile(r"[^\W\d_]+")
+#: Signs of ASCII that are no letters.
+_MARKS = "".join(c for c in map(chr, range(128)) if not c.isalpha())
 _OTHER = str.maketrans({c: "0" for c in "123456789"})
 
 
 def token_features(token: str) -> list[int]:
     """Hashes of a token's features."""
     out = []
-    for core in _CORE.findall(token.lower()):
-        out.append(zlib.crc32(core.encode("utf-8", "surrogatepass")))
+    core = token.strip(_MARKS) if token.isascii() else ""
+    if core.isalpha():  # a word with signs around it, as nearly all tokens are
+        cores, at = (core.lower(),), token.index(core)
+        framed = f"{token[:at]}a{token[at + len(core) :]}" if len(core) < len(token) else ""
+    else:
+        cores, framed = _CORE.findall(token.lower()), "" if token.isalpha() else token
+    for core in cores:
+        raw = core.encode("utf-8", "surrogatepass")
+        out.append(zlib.crc32(raw))
         for n in (4, 5):
             if len(core) >= n:
-                out.append(zlib.crc32(b"%d" % n + core[:n].encode("utf-8", "surrogatepass")))
-    if not token.isalpha():
-        shape = _CORE.sub("a", token.translate(_OTHER))
-        out.append(zlib.crc32(b"s" + re.sub(r"(.)\1+", r"\1+", shape)[:16].encode("utf-8", "surrogatepass")))
+                out.append(zlib.crc32(b"%d" % n + (raw[:n] if len(raw) == len(core) else core[:n].encode("utf-8", "surrogatepass"))))
+    if framed:
+        out.append(_shape(framed))
     elif len(token) > 2 and token.isupper():
         out.append(zlib.crc32(b"upper"))
     return out
 
 
+@lru_cache(10_000)
+def _shape(token: str) -> int:
+    """The hash of a token's shape: words as one letter, digits as one digit, runs of signs as two."""
+    shape = _CORE.sub("a", token.translate(_OTHER))
+    return zlib.crc32(b"s" + re.sub(r"(.)\1+", r"\1+", shape)[:16].encode("utf-8", "surrogatepass"))
+
+
+_FACTOR = 0x9E3779B1
+
+
 def shared(feature: int, words: int) -> int:
     """The feature "``words`` different words have ``feature``"."""
-    return (feature * 0x9E3779B1 + words) & 0xFFFFFFFF
+    return (feature * _FACTOR + words) & 0xFFFFFFFF
+
+
+def levels_of(feature: int) -> tuple[int, int, int, int]:
+    """What a feature becomes when 1, 2, 4 or 8 words have it."""
+    return feature, shared(feature, 2), shared(feature, 4), shared(feature, 8)
 
 
 class Tokens:
@@ -62,22 +86,31 @@ class Tokens:
 
     def __init__(self, only: set[int] | None = None, limit: int = 300_000):
         self.only, self.limit, self.known = only, limit, {}
+        self.blank: set[str] = set()  # tokens without a feature that is used: nearly all, so they are taken off at once
+        if only is not None:
+            back = pow(_FACTOR, -1, 1 << 32)
+            roots = {u for u in only} | {(u - words) * back & 0xFFFFFFFF for u in only for words in (2, 4, 8)}
+            self.used = {f: tuple(x if x in only else 0 for x in levels_of(f)) for f in roots}
 
     def _of_token(self, token: str) -> list[tuple[int, ...]]:
         """Each feature of the token with what it becomes when 1, 2, 4 or 8 words have it; 0 where that isn't used."""
-        every = [(f, shared(f, 2), shared(f, 4), shared(f, 8)) for f in set(token_features(token))]
         if self.only is None:
-            return every
-        kept = [tuple(f if f in self.only else 0 for f in levels) for levels in every]
-        return [levels for levels in kept if any(levels)]
+            return [levels_of(f) for f in set(token_features(token))]
+        used = self.used
+        return [used[f] for f in {*token_features(token)} if f in used]
 
     def of(self, text: str | None) -> set[int]:
         known, counts = self.known, {}
-        for token in set((text or "").split()):
+        for token in set((text or "").split()) - self.blank:
             if (found := known.get(token)) is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                found = known[token] = self._of_token(token)
+                found = self._of_token(token)
+                held = known if found else self.blank
+                if len(held) >= self.limit:
+                    held.clear()
+                if found:
+                    known[token] = found
+                else:
+                    self.blank.add(token)
             for levels in found:
                 counts[levels] = counts.get(levels, 0) + 1
         out = {f for levels, n in counts.items() for f in levels[: min(n, 8).bit_length()]}
@@ -198,7 +231,11 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
 
 
 def kept(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` would not reject, as they are."""
+    """The rows of ``docs`` that ``classify`` would not reject, as they are.
+
+    Defined cases: null, empty and blank texts stay; repeated rows go or stay together; an empty table gives
+    no rows; other columns are carried along.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     tokens: list[Tokens] = []
 
@@ -213,6 +250,13 @@ def kept(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float
     return docs.where(clean(F.col(f"`{text_col}`")))
 
 
-def category_labels(labels: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The test tables' label columns as categories in chain order: low quality, then toxic."""
-    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic")), ["low_quality", "toxic"]
+def category_labels(labels: DataFrame, id_col: str = "doc_id", last: str = "toxic") -> tuple[DataFrame, list[str]]:
+    """The columns of a label table as categories in chain order: low quality, any others, then toxic.
+
+    Low quality is no category of toxicity; it stands first because the test tables have no other beside
+    ``toxic``, and later models may learn from it. A table with more columns of 0 and 1 brings more
+    categories, in the order of its columns.
+    """
+    more = [c for c in labels.columns if c not in (id_col, "quality", last)]
+    low = [(1 - F.col("quality")).alias("low_quality")] if "quality" in labels.columns else []
+    return labels.select(F.col(f"`{id_col}`").alias("doc_id"), *low, *[F.col(f"`{c}`") for c in (*more, last)]), [*(["low_quality"] if low else []), *more, last]
