@@ -40,9 +40,7 @@ class Crf:
         total = [np.full_like(w, 1e-8) for w in (self.emit, self.move, self.first)]
         one_hot = np.eye(k)[gold] * real[:, :, None]
         for _ in range(rounds):
-            e = np.zeros((longest * n, k))
-            np.add.at(e, flat_p, self.emit[flat_f])
-            e = e.reshape(longest, n, k)
+            e = np.stack([np.bincount(flat_p, self.emit[flat_f, j], longest * n) for j in range(k)], 1).reshape(longest, n, k)
             ahead, back = np.zeros_like(e), np.zeros_like(e)
             ahead[0] = self.first + e[0]
             for t in range(1, longest):
@@ -53,9 +51,9 @@ class Crf:
                 back[t] = np.where(real[t + 1][:, None], step, 0.0)
             norm = _log_sum(ahead[-1], 1)
             seen = np.exp(np.minimum(ahead + back - norm[None, :, None], 0)) * real[:, :, None]
-            g_emit, g_move = np.zeros_like(self.emit), np.zeros_like(self.move)
+            g_move = np.zeros_like(self.move)
             miss = (one_hot - seen).reshape(-1, k)
-            np.add.at(g_emit, flat_f, miss[flat_p])
+            g_emit = np.stack([np.bincount(flat_f, miss[flat_p, j], len(self.emit)) for j in range(k)], 1)
             for t in range(1, longest):
                 both = np.exp(np.minimum(ahead[t - 1][:, :, None] + self.move + (e[t] + back[t])[:, None, :] - norm[:, None, None], 0))
                 both[~real[t]] = 0

@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -269,6 +271,7 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
     where = [(i, s) for i, text in enumerate(texts) for s in stretches(text)]
     features = [model.features([texts[i][a:b] for a, b in s]) for i, s in where]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    covers = [Cover(spans) for spans in base]
     for (i, spans), labels in zip(where, model.crf.decode(features)):
         found: list[list] = []
         for (a, b), label in zip(spans, labels):
@@ -284,11 +287,23 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
                 a += 1
             while b > a and texts[i][b - 1] in _EDGES:
                 b -= 1
-            if a < b and not any(a < y and x < b for _, x, y in base[i]):
+            if a < b and not covers[i].meets(a, b):
                 out[i].append((kind, a, b))
     return out
 
 
+class Cover:
+    """Spans by start, to ask whether one of them meets another span in steps that grow with their logarithm."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts = [a for _, a, _ in spans]
+        self.ends = list(accumulate((b for *_, b in spans), max))  # the last end of all spans so far
+
+    def meets(self, a: int, b: int) -> bool:
+        before = bisect_left(self.starts, b)
+        return before > 0 and self.ends[before - 1] > a
+
+
 def find(texts: list[str | None], model: Model) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, both in order."""
     whole = [t or "" for t in texts]
@@ -336,7 +351,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 
 def redacted(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced by its kind; a null text stays null."""
+    """``docs`` with personal data in ``text_col`` replaced by its kind.
+
+    Defined cases: a null text stays null, an empty one empty; repeated rows become equal rows; an empty
+    table gives no rows; other columns are carried along.
+    """
     from pyspark.sql import functions as F
 
     shared = docs.sparkSession.sparkContext.broadcast(model or train())

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 from itertools import product
 
@@ -80,3 +81,56 @@ def test_table(spark):
     clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
     assert clean[1] == "mail <email>" and clean[2] is None and clean[None] == "<ip>"
     assert pii.detect(df.limit(0)).count() == 0
+
+
+def held_out(rows=600, seed=77):
+    """Texts of other seeds than the training table's, and their true spans."""
+    out = []
+    for tokens, labels in pii.labelled(seed, rows):
+        text, spans, at = "", [], 0
+        for token, label in zip(tokens, labels):
+            text += token + " "
+            core = token.rstrip(".,")
+            if label[0] == "B":
+                spans.append([label[2:], at, at + len(core)])
+            elif label[0] == "I":
+                spans[-1][2] = at + len(core)
+            at = len(text)
+        out.append((text, [tuple(s) for s in spans]))
+    return out
+
+
+def test_the_field_finds_what_patterns_miss():
+    rows = held_out()
+    found = pii.find([t for t, _ in rows], pii.train())
+    truth = sum(len(s) for _, s in rows)
+    meets = lambda s, spans: any(k == s[0] and a < s[2] and s[1] < b for k, a, b in spans)
+    by_patterns = sum(meets(s, base) for (_, spans), (base, _) in zip(rows, found) for s in spans)
+    by_all = sum(meets(s, more) for (_, spans), (_, more) in zip(rows, found) for s in spans)
+    added = [(s, spans) for (_, spans), (base, more) in zip(rows, found) for s in more if s not in base]
+    right = sum(meets(s, spans) for s, spans in added)
+    print(f"of {truth}: patterns {by_patterns / truth:.3f}, with the field {by_all / truth:.3f}; added {len(added)}, of these right {right / len(added):.3f}")
+    assert by_all > by_patterns + 0.1 * truth and by_all > 0.95 * truth and right > 0.9 * len(added)
+
+
+def test_dense_text_takes_time_in_proportion():
+    line = "a{0}.x@h{0}.org 10.{1}.3.4 +1 415 555 {2} (at) 4{0} "
+
+    def seconds(n):
+        text = "".join(line.format(i, i % 256, 1000 + i % 9000) for i in range(n))
+        began = time.perf_counter()
+        (base, _), = pii.find([text], pii.train())
+        assert len(base) == 3 * n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(20_000) < 16 * seconds(2_500) + 2  # over a megabyte
+
+
+def test_cover_against_all_spans():
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = sorted((("ip", a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 8)))), key=lambda s: s[1])
+        a = rng.randrange(60)
+        b = a + rng.randint(1, 6)
+        assert pii.Cover(spans).meets(a, b) == any(a < y and x < b for _, x, y in spans)
