@@ -168,24 +168,28 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tup
 
     A labeller that does not vote says nothing; one that votes is right with its accuracy, whichever class
     the document is of, independently of the others given the class. All begin with an accuracy of 0.8, and
-    each is smoothed by ten votes at that accuracy; none is taken to be right less
-    often than that.
+    each is smoothed by ten votes at that accuracy; it may fall as low as the votes say, below a half for one
+    that is wrong more often than right, whose votes then count against themselves. The two classes are told
+    apart by that beginning: if most votes came out as wrong, the classes are swapped.
     """
     n, k = patterns.shape
     accuracy, prior = np.full(k, 0.8), 0.8
     if not n:
         return np.zeros(0), accuracy, prior
     good, bad = (patterns == GOOD).astype(float), (patterns == BAD).astype(float)
+    cast = counts @ (good + bad)
     posterior = np.zeros(n)
     for _ in range(rounds):
         odds = np.log(accuracy / (1 - accuracy))
         new = sigmoid(np.log(prior / (1 - prior)) + good @ odds - bad @ odds)
         right = counts @ (good * new[:, None] + bad * (1 - new[:, None]))
-        accuracy = np.clip((right + 8) / (counts @ (good + bad) + 10), 0.8, 0.99)
+        accuracy = np.clip((right + 8) / (cast + 10), 0.01, 0.99)
         prior = float(np.clip((counts @ new) / counts.sum(), 0.05, 0.95))
         if np.abs(new - posterior).max() < 1e-9:
             break
         posterior = new
+    if cast.sum() and (cast @ accuracy) < 0.5 * cast.sum():
+        new, accuracy, prior = 1 - new, 1 - accuracy, 1 - prior
     return new, accuracy, prior
 
 
@@ -196,8 +200,14 @@ class Scorer:
         self.weights, self.intercept = weights, intercept
 
     def score(self, found: dict[int, float]) -> float:
-        x = self.intercept + sum(float(self.weights[k]) * v for k, v in found.items())
-        return float(sigmoid(np.float64(x)))
+        return float(self.scores([np.array(list(found), np.int64)], [np.array(list(found.values()))])[0])
+
+    def scores(self, cols: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
+        """The scores of documents by their features' numbers and values."""
+        owner = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+        flat = np.concatenate([*cols, np.zeros(0, np.uint32)]).astype(np.int64)
+        weighted = self.weights[flat] * np.concatenate([*values, np.zeros(0)]).astype(np.float64)
+        return sigmoid(self.intercept + np.bincount(owner, weighted, len(cols)))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, decay: float = 1e-4, rounds: int = 200, rate: float = 0.5) -> Scorer:
@@ -222,74 +232,73 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, decay: floa
     return Scorer(w, float(b))
 
 
-def voted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, pattern): the votes of every document as a string of 0, 1 and -."""
+def featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, words, pattern, cols, vals): the votes of every document as a string of 0, 1 and -, and its features."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in text_batches(batches):
-            patterns = ["".join("01-"[v] for v in votes(Text(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(patterns, pa.string())], ["doc_id", "pattern"])
+            words, patterns, cols, vals = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                t = Text(text)
+                found = features(t)
+                words.append(t.n)
+                patterns.append("".join("01-"[v] for v in votes(t)))
+                cols.append(np.fromiter(found, "<u4").tobytes())
+                vals.append(np.fromiter(found.values(), "<f4").tobytes())
+            columns = [pa.array(words, pa.int64()), pa.array(patterns, pa.string()), pa.array(cols, pa.binary()), pa.array(vals, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "words", "pattern", "cols", "vals"])
 
-    return pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, pattern string")
+    chosen = pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+    return chosen.mapInArrow(run, "doc_id long, words long, pattern string, cols binary, vals binary")
 
 
 def decoded(pattern: str) -> list[int]:
     return [{"0": BAD, "1": GOOD, "-": NONE}[c] for c in pattern]
 
 
-def train(docs: DataFrame, patterns: DataFrame, posterior: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
-    """A scorer from a sample of documents by a hash of their ids: half of those whose pattern is likelier bad, if there are so many."""
-    judged = patterns.join(F.broadcast(posterior), "pattern").where("doc_id is not null").dropDuplicates(["doc_id"])
+def train(found: DataFrame, posterior: DataFrame, sample: int = SAMPLE) -> Scorer:
+    """A scorer from a sample of ``featured`` documents by a hash of their ids: half of those whose pattern is likelier bad, if there are so many.
+
+    Of rows with the same id one is used.
+    """
+    judged = found.select("doc_id", "pattern").join(F.broadcast(posterior), "pattern").where("doc_id is not null").dropDuplicates(["doc_id"])
     order = F.xxhash64(F.lit(3), "doc_id")
     half = judged.where("posterior < 0.5").orderBy(order, "doc_id").limit(sample // 2)
     rest = judged.where("posterior >= 0.5").orderBy(order, "doc_id").limit(sample - sample // 2)
-    chosen = F.broadcast(half.unionByName(rest).select("doc_id", "posterior"))  # at most ``sample`` rows
-    texts = pick(docs, doc_id=id_col, text=text_col).join(chosen, "doc_id").select("posterior", "text")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in text_batches(batches):
-            found = [features(Text(t)) for t in batch.column(1).to_pylist()]
-            cols = [np.fromiter(f, "<u4").tobytes() for f in found]
-            values = [np.fromiter(f.values(), "<f8").tobytes() for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.binary()), pa.array(values, pa.binary())], ["posterior", "cols", "vals"])
-
-    rows = sorted(texts.mapInArrow(run, "posterior double, cols binary, vals binary").collect(), key=tuple)
-    return fit([(np.frombuffer(bytes(r[1]), "<u4"), np.frombuffer(bytes(r[2]), "<f8")) for r in rows], np.array([r[0] for r in rows]))
+    chosen = F.broadcast(half.unionByName(rest).select("doc_id", "pattern", "posterior"))  # at most ``sample`` rows
+    rows = found.join(chosen, ["doc_id", "pattern"]).groupBy("doc_id").agg(F.min(F.struct("posterior", "cols", "vals")).alias("x")).select("x.*")
+    rows = sorted(rows.collect(), key=tuple)
+    return fit([(np.frombuffer(bytes(r[1]), "<u4"), np.frombuffer(bytes(r[2]), "<f4")) for r in rows], np.array([r[0] for r in rows]))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, votes, posterior (of its vote pattern), score (the scorer's), keep (0 or 1).
 
+    Texts are read once: their votes and hashed features are settled, and all that follows reads those.
+
     Defined cases: a null or empty text has no words, so no labeller votes, and it is not
     kept; repeated rows get equal values; a null id is carried along; an empty table gives no rows; other
     columns are not read.
     """
     spark = docs.sparkSession
-    patterns = settle(voted(docs, id_col, text_col))
-    counts = sorted((r["pattern"], r["n"]) for r in patterns.groupBy("pattern").agg(F.count("*").alias("n")).collect())  # at most 3 ** labellers
+    found = settle(featured(docs, id_col, text_col))
+    counts = sorted((r["pattern"], r["n"]) for r in found.groupBy("pattern").agg(F.count("*").alias("n")).collect())  # at most 3 ** labellers
     names = [p for p, _ in counts]
     posterior, _, _ = estimate(np.array([decoded(p) for p in names]).reshape(len(names), len(LABELLERS)), np.array([n for _, n in counts], float))
     by_pattern = dict(zip(names, map(float, posterior)))
     table = spark.createDataFrame(list(by_pattern.items()), "pattern string, posterior double")
-    shared = spark.sparkContext.broadcast((train(docs, patterns, table, id_col, text_col, sample), by_pattern))
+    shared = spark.sparkContext.broadcast((train(found, table, sample), by_pattern))
 
     def run(batches):
         import pyarrow as pa
 
         scorer, known = shared.value
-        for batch in text_batches(batches):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                t = Text(text)
-                pattern = "".join("01-"[v] for v in votes(t))
-                score = scorer.score(features(t))
-                rows.append((pattern, known[pattern], score, int(t.n > 0 and score >= threshold)))
-            columns = [pa.array(c) for c in zip(*rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "votes", "posterior", "score", "keep"])
+        for batch in batches:
+            scores = scorer.scores([np.frombuffer(c, "<u4") for c in batch.column(3).to_pylist()], [np.frombuffer(v, "<f4") for v in batch.column(4).to_pylist()])
+            keep = (batch.column(1).to_numpy() > 0) & (scores >= threshold)
+            told = pa.array([known[p] for p in batch.column(2).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), told, pa.array(scores, pa.float64()), pa.array(keep.astype(np.int64))], ["doc_id", "votes", "posterior", "score", "keep"])
 
-    chosen = pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    return chosen.mapInArrow(run, "doc_id long, votes string, posterior double, score double, keep long")
+    return found.mapInArrow(run, "doc_id long, votes string, posterior double, score double, keep long")
