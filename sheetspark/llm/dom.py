@@ -7,17 +7,31 @@ import re
 
 #: Fixed values of the HTML standard: elements by how they end and how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math canvas object select".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
+#: Of these, the ones that go on to the end of the page if nothing ends them.
+TO_END = frozenset("script style textarea title".split())
+FOREIGN = ("svg", "math")
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math object q s samp small span strike strong sub sup svg time tt u var wbr"
+    " mfrac mi mn mo mover mroot mrow ms msqrt msub msubsup msup mtext munder semantics".split()
 )
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)(>|$)|<[!?/][^>]*+(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# an attribute; quotes delimit only a value, and only if they are closed
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+))"
+_PLAIN_ATTRIBUTE = r"[^\s/>][^\s/>=]*+(?:" + _VALUE.replace("([", "(?:[") + ")?+"
+_MARKUP = re.compile(rf"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_PLAIN_ATTRIBUTE})*+)(>|$)|<[!?/][^>]*+(?:>|$)", re.S)
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{_VALUE})?+")
+_TOLD = frozenset("class id role hidden style".split())
+
+
+def told(attributes: str) -> str:
+    """Values of the attributes that tell what an element is for, names of those without a value, in small letters."""
+    found = ((m[1].lower(), m[2] or m[3] or m[4] or m[1]) for m in _ATTRIBUTE.finditer(attributes))
+    return " ".join(value for name, value in found if name in _TOLD).lower()
 
 
 class Page:
@@ -48,24 +62,28 @@ class Page:
             if not name:
                 continue
             if m[1]:
-                broken |= name not in INLINE
+                broken |= name not in INLINE and not any(self._open.get(f) for f in FOREIGN)
                 if self._open.get(name):
                     k = len(stack) - 1
                     while self.tags[stack[k]] != name:
                         k -= 1
                     self._end(stack, k)
                 continue
-            broken |= name not in INLINE
+            foreign = any(self._open.get(f) for f in FOREIGN)
+            broken |= name not in INLINE and not foreign
             if name in RAW:  # what it holds isn't text of the page
                 close = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(source, begin)
-                begin = close.end() if close else end
+                if close or name in TO_END:
+                    begin = close.end() if close else end
                 continue
             if name in VOID:
                 continue
             self._close_for(name, stack)
             self.tags.append(name)
             self.parents.append(stack[-1])
-            self.marks.append(" ".join(x for a in _ATTRIBUTE.finditer(m[3]) for x in (a[2] or a[3] or a[4] or a[1],)).lower() if m[3] else "")
+            self.marks.append(told(m[3]) if m[3] else "")
+            if (foreign or name in FOREIGN) and m[3].endswith("/"):
+                continue
             stack.append(len(self.tags) - 1)
             self._open[name] = self._open.get(name, 0) + 1
 

@@ -27,7 +27,7 @@ from .dom import INLINE, Page
 TAGS = {
     "article": "article main", "section": "section", "div": "div center", "p": "p", "head": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl menu", "item": "li dt dd",
     "table": "table tbody thead tfoot tr td th caption", "quote": "blockquote pre figure figcaption address details summary", "nav": "nav", "header": "header", "footer": "footer",
-    "aside": "aside dialog", "form": "form fieldset button label input legend output", "link": "a", "page": "#root html body", "meta": "head",
+    "aside": "aside dialog", "form": "form fieldset button label input legend output select optgroup option datalist", "link": "a", "page": "#root html body", "meta": "head",
 }
 WORDS = {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager tabs toolbar skip",
@@ -44,10 +44,12 @@ _HINT = {word: group for group, words in WORDS.items() for word in words.split()
 _SPLIT = re.compile(r"[^a-z]+")
 NAMES = [
     "any", *[f"tag {g}" for g in TAGS], "tag inline", "tag other", *[f"word {g}" for g in WORDS], *[f"size {i}" for i in range(6)], *[f"links {i}" for i in range(4)],
-    "sentence", "marks no sentence", "under body", *[f"own {i}" for i in range(3)],
+    "sentence", "marks no sentence", "under body", *[f"own {i}" for i in range(3)], *[f"share {i}" for i in range(4)],
 ]
 _NUMBER = {n: i for i, n in enumerate(NAMES)}
-EDGES = ["inline", "block", "section", "told", "page"]
+EDGES = ["inline", "block", "section", "told", "page", "empty", "named"]
+#: Elements without any text say nothing of what is around them: no features, and an edge without weights.
+EMPTY = 5
 
 
 def features(page: Page) -> tuple[list[list[int]], list[int], list[int]]:
@@ -68,6 +70,13 @@ def features(page: Page) -> tuple[list[list[int]], list[int], list[int]]:
         stops[up] += stops[i]
     rows, edges, depths = [], [], [0] * n
     for i, tag in enumerate(page.tags):
+        up = page.parents[i]
+        if up >= 0:
+            depths[i] = depths[up] + 1
+        if not size[i]:
+            rows.append([])
+            edges.append(EMPTY)
+            continue
         group = _GROUP.get(tag) or ("inline" if tag in INLINE else "other")
         row = [0, _NUMBER[f"tag {group}"]]
         hints = {_HINT[w] for w in _SPLIT.split(page.marks[i]) if w in _HINT} if page.marks[i] else ()
@@ -75,17 +84,16 @@ def features(page: Page) -> tuple[list[list[int]], list[int], list[int]]:
         row.append(_NUMBER[f"size {min(5, size[i].bit_length() // 2)}"])
         row.append(_NUMBER[f"links {min(3, 4 * links[i] // size[i]) if size[i] else 0}"])
         row.append(_NUMBER[f"own {min(2, own[i].bit_length() // 4)}"])
+        part = size[i] / size[0]  # of the page's text
+        row.append(_NUMBER[f"share {(part >= 0.05) + (part >= 0.2) + (part >= 0.5)}"])
         if stops[i]:
             row.append(_NUMBER["sentence"])
         elif size[i]:
             row.append(_NUMBER["marks no sentence"])
-        up = page.parents[i]
-        if up >= 0:
-            depths[i] = depths[up] + 1
-            if _GROUP.get(page.tags[up]) == "page" and group != "page":
-                row.append(_NUMBER["under body"])
+        if up >= 0 and _GROUP.get(page.tags[up]) == "page" and group != "page":
+            row.append(_NUMBER["under body"])
         rows.append(row)
-        edges.append(4 if group == "page" else 3 if hints or group in ("nav", "aside", "footer", "header", "form") else 0 if tag in INLINE else 2 if group in ("section", "article", "div") else 1)
+        edges.append(4 if group == "page" else 6 if hints and not set(hints) - {"content"} else 3 if hints or group in ("nav", "aside", "footer", "header", "form") else 0 if tag in INLINE else 2 if group in ("section", "article", "div") else 1)
     return rows, edges, depths
 
 
@@ -129,7 +137,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def train(pages: list[tuple[Page, list[int]]], rounds: int = 150, rate: float = 0.3, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def train(pages: list[tuple[Page, list[int]]], rounds: int = 250, rate: float = 0.3, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Node and edge weights of greatest likelihood for labelled pages, (page, 0 or 1 of each element)."""
     forest = Forest([p for p, _ in pages])
     gold = np.concatenate([np.array(y) for _, y in pages])
@@ -144,6 +152,7 @@ def train(pages: list[tuple[Page, list[int]]], rounds: int = 150, rate: float =
         g_pair = gold_pair.copy()
         for e in range(len(EDGES)):
             g_pair[e] -= both[children][forest.edges[children] == e].sum(0)
+        g_pair[EMPTY] = 0
         for w, grad, s in ((weights, g, sums[0]), (pair, g_pair, sums[1])):
             grad = grad - decay * len(gold) * w * 0.1
             s += grad * grad
@@ -151,7 +160,7 @@ def train(pages: list[tuple[Page, list[int]]], rounds: int = 150, rate: float =
     return weights, pair
 
 
-def labelled_pages(seed: int = 5, n: int = 260) -> list[tuple[str, str]]:
+def labelled_pages(seed: int = 5, n: int = 400) -> list[tuple[str, str]]:
     """Pages by rule from a seed: (html, main text). Content elements are marked by an attribute ``data-y``."""
     rng = random.Random(seed)
 
@@ -183,7 +192,7 @@ def labelled_pages(seed: int = 5, n: int = 260) -> list[tuple[str, str]]:
 
     def after():
         return rng.choice((
-            lambda: f"<footer>&copy; {words(1, 2)} &middot; {sentences(1, 3)}</footer>", lambda: f'<div id="footer"><p>{sentences(1, 2)}</p>{links(2, 5, "", " | ")}</div>',
+            lambda: f"<footer>&copy; {words(1, 2)} &middot; {sentences(1, 3)}</footer>", lambda: f'<footer id="{named("footer", "colophon", "bottom")}"><div class="{named("site-info", "inner", "")}">{sentences(1, 3)}</div></footer>', lambda: f'<div id="footer"><p>{sentences(1, 2)}</p>{links(2, 5, "", " | ")}</div>',
             lambda: f'<section class="{named("comments", "comment-list")}"><h2>{words(1, 2)}</h2>' + "".join(f'<div class="comment"><p>{sentences(1, 3)}</p></div>' for _ in range(rng.randint(1, 4))) + "</section>",
             lambda: f'<div id="comments"><ol>' + "".join(f"<li><b>{word()}</b><p>{sentences(1, 4)}</p></li>" for _ in range(rng.randint(1, 4))) + "</ol></div>",
             lambda: f'<div class="related"><h3>{words(1, 3)}</h3>{links(3, 6)}</div>', lambda: f'<div class="share">{links(2, 4, "", " ")}</div>',
@@ -191,6 +200,11 @@ def labelled_pages(seed: int = 5, n: int = 260) -> list[tuple[str, str]]:
 
     def inner():
         body = f"<h1 data-y>{words(2, 12)}</h1>" if rng.random() < 0.8 else ""
+        if body and rng.random() < 0.25:
+            body = f'<{named("header", "div")} data-y class="{named("entry-header", "post-header", "title", "")}">{body}</header>'
+            body = body if body.startswith("<header") else body.replace("</header>", "</div>")
+        if rng.random() < 0.15:
+            body += f'<div class="{named("byline", "meta", "author")}">{words(1, 4)}</div>'
         for _ in range(rng.randint(1, 7)):
             text = rng.choice((sentences(1, 8), words(1, 6) + ".", words(5, 40), sentences(2, 3) + f' <a data-y href="/x">{words(1, 4)}</a> ' + sentences(1, 2), f"<em data-y>{words(1, 4)}</em> {sentences(1, 4)}"))
             body += rng.choice((f"<p data-y>{text}</p>", f"<p data-y>{text}</p>", f"<p data-y>{text}", f"<p data-y><b data-y>{text}<br>", f"<div data-y>{text}</div>"))
@@ -201,12 +215,20 @@ def labelled_pages(seed: int = 5, n: int = 260) -> list[tuple[str, str]]:
 
     pages = []
     for _ in range(n):
-        open_, close = rng.choice((("<article data-y>", "</article>"), ("<article data-y>", "</article>"), ("<main data-y>", "</main>"), ("<main data-y><article data-y>", "</article></main>"), (f'<div data-y class="{named("content", "post", "entry-content", "article-body")}">', "</div>"), (f'<div data-y id="{named("content", "main", "story")}">', "</div>"), ("<div data-y>", "</div>"), ("<section data-y>", "</section>"), (f'<div data-y class="{word()}"><div data-y>', "</div></div>")))
+        post = f'<article data-y class="{named("post", "entry", "hentry", "story")}">'
+        open_, close = rng.choice((
+            ("<article data-y>", "</article>"), ("<article data-y>", "</article>"), ("<main data-y>", "</main>"), ("<main data-y><article data-y>", "</article></main>"),
+            (f'<div data-y class="{named("content", "post", "entry-content", "article-body")}">', "</div>"), (f'<div data-y id="{named("content", "main", "story")}">', "</div>"), ("<div data-y>", "</div>"), ("<section data-y>", "</section>"),
+            (f'<div data-y class="{word()}"><div data-y>', "</div></div>"),
+            (f'<div data-y id="{named("content", "primary", "main")}" class="{named("site-content", "content-area", "")}"><main data-y>{post}<div data-y class="{named("entry-content", "post-body", "text")}">', f"</div></article>{after() if rng.random() < 0.6 else ''}</main></div>"),
+            (f'<table data-y width="100%"><tr><td colspan="2">{links(2, 5, "", " | ")}</td></tr><tr data-y><td class="{named("menu", "left", "")}">{links(2, 6, "", "<br>")}</td><td data-y>', f'</td></tr><tr><td colspan="2"><font size="1">{rng.choice(("&copy; ", "Copyright ", ""))}{sentences(1, 2)}</font></td></tr></table>'),
+        ))
         before = "".join(boiler() for _ in range(rng.randint(0, 3)))
         behind = "".join(rng.choice((after, boiler))() for _ in range(rng.randint(0, 3)))
+        body = rng.choice(("<body data-y>", "<body data-y>", f'<body data-y class="{named("home blog", "single", "page", "news article", "no-sidebar")}">'))
         page = f"<body data-y>{before}{open_}{inner()}{close}{behind}"
         wrap = rng.random() < 0.3
-        pages.append(f'<!DOCTYPE html><html data-y><head><meta charset="utf-8"><title>{words(2, 6)}</title><script>var x="</p>";</script></head>' + (page.replace("<body data-y>", '<body data-y><div data-y class="wrapper">') + "</div>" if wrap else page) + "</body></html>")
+        pages.append(f'<!DOCTYPE html><html data-y><head><meta charset="utf-8"><title>{words(2, 6)}</title><script>var x="</p>";</script></head>' + (page.replace("<body data-y>", f'{body}<div data-y class="{named("wrapper", "site", "container", "page")}">') + "</div>" if wrap else page.replace("<body data-y>", body)) + "</body></html>")
     return pages
 
 
