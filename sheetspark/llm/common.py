@@ -51,21 +51,22 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 PARTS, SALTS = 1024, 32
 
 
-def spread_join(rows: DataFrame, single: DataFrame, key: str, like: DataFrame | None = None, parts: int = PARTS, salts: int = SALTS) -> DataFrame:
+def spread_join(rows: DataFrame, single: DataFrame, key: str | list[str], like: DataFrame | None = None, how: str = "inner", parts: int = PARTS, salts: int = SALTS) -> DataFrame:
     """``rows`` joined with ``single`` (a row for each key) so that no key's rows meet in one task.
 
     Hot keys, fewer than ``parts`` by their definition, are sent to all tasks; rows that have one are dealt
     by a hash of the row, and its row of ``single`` is there once for each salt. ``like`` is a settled table
     with the keys of ``rows``, where ``rows`` itself would have to be computed to count them.
     """
+    keys = [key] if isinstance(key, str) else key
     like = rows if like is None else like
     total = like.count()
-    hot = F.broadcast(like.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * parts > F.lit(max(total, 16 * parts))).select(key, F.lit(True).alias("_hot")))
+    hot = F.broadcast(like.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * parts > F.lit(max(total, 16 * parts))).select(*keys, F.lit(True).alias("_hot")))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
-    right = single.join(hot, key, "left").withColumn("_salt", F.explode(each)).drop("_hot")
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    left = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = single.join(hot, keys, "left").withColumn("_salt", F.explode(each)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def text_batches(batches: Iterator, limit: int = 8 << 20) -> Iterator:

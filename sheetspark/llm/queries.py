@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.RULES, label=urlfilter.query_label)
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.RULES, evidence=urlfilter.page_evidence)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,24 +2,26 @@
 
 Per host, paths are put into a tree of segments. Numbers in a segment are one sign; a segment that is one
 of many below its parent, each with a small share, is variable and becomes a wildcard, level by level from
-the root. Branches of the root with the same templates below them are merged where their labels do not
-differ more than chance allows. A template is rejected if the share of bad ones among its labelled pages,
-smoothed towards the share of all, is high enough.
+the root, for as long as a parent has paths enough for that. Templates that differ in one segment only, at
+whichever level, are siblings; those whose labels do not differ from the other siblings' more than chance
+allows are merged, and a template counts with the merge that has most labels. It is rejected if the share
+of bad ones among its labelled pages, smoothed towards the share of all, is high enough.
 
 Labels of pages come from the caller (1 bad, 0 good, null none). Everything is DataFrame operations: pages
-are first counted by host and path shape, so that a host with a third of all pages is a few rows to the
-tree, and only equality joins, which may be split, bring templates back to pages.
+are first counted by host and path shape, each level of the tree is settled as a table, and the rows of a
+key that a large part of all rows have, be it a host, a shape or a template, are dealt over tasks.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, settle
+from .common import pick, settle, spread_join
 
 #: Children above which those with less than one part in ``SHARE`` of their parent's pages are variable.
 FAN, SHARE = 16, 20
@@ -27,8 +29,6 @@ FAN, SHARE = 16, 20
 #: slack within which branches are alike.
 WEIGHT, REJECT, DEVIATIONS, SLACK = 4.0, 0.8, 1.96, 0.02
 
-LEVELS = ("s1", "s2", "s3", "rest")
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -68,77 +68,103 @@ def shape(path: Column) -> Column:
     return F.regexp_replace(path, "[0-9]+", "0")
 
 
-def segments(norm: Column) -> list[Column]:
-    """The first three segments of a path shape and what follows them."""
-    return [*(F.split_part(norm, F.lit("/"), F.lit(i)) for i in (2, 3, 4)), F.regexp_extract(norm, r"(?s)^[^/]*/[^/]*/[^/]*/[^/]*(/.*)$", 1)]
+def segments(path: Column) -> Column:
+    """What stands between a path's slashes, as an array; an empty path has no segments."""
+    parts = F.split(path, "/")
+    return F.slice(parts, 2, F.size(parts))
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """``shapes`` (host, norm, n, labelled, bad) with its generalised segments w1, w2, w3, w_rest."""
-    tree = shapes.select("*", *[c.alias(s) for c, s in zip(segments(F.col("norm")), LEVELS)])
-    parents = ["host"]
-    for k, s in enumerate(LEVELS):
-        wild = f"w{k + 1}"
-        children = tree.groupBy(*parents, s).agg(F.sum("n").alias("own"))
-        sizes = children.groupBy(*parents).agg(F.count("*").alias("fan"), F.sum("own").alias("whole"))
-        variable = (F.col("fan") > FAN) & (F.col("own") * SHARE < F.col("whole"))
-        named = children.join(sizes, parents).select(*parents, s, F.when(variable, F.lit("*")).otherwise(F.col(s)).alias(wild))
-        tree = tree.join(named, [*parents, s])
-        parents = [*parents, wild]
-    return tree
+    """``shapes`` (host, norm, n, labelled, bad) with their template: variable segments as ``*``, from the root down.
+
+    A level is looked at as long as some parent has more than ``FAN`` shapes below it; where none has, no
+    segment further down can be variable.
+    """
+    tree, k = settle(shapes.select("*", segments(F.col("norm")).alias("segs"), F.lit("").alias("prefix"))), 0
+    below = ["host", "prefix"]
+    while True:
+        deep = tree.where(F.size("segs") > k)
+        most = deep.groupBy(*below).count().agg(F.max("count")).first()[0] or 0
+        if most <= FAN:
+            break
+        children = settle(deep.groupBy(*below, F.get("segs", F.lit(k)).alias("seg")).agg(F.sum("n").alias("own")))
+        wide = children.groupBy(*below).agg(F.count("*").alias("fan"), F.sum("own").alias("whole")).where(F.col("fan") > FAN)
+        variable = settle(spread_join(children, wide, below).where(F.col("own") * SHARE < F.col("whole")).select(*below, "seg", F.lit("*").alias("wild")))
+        named = spread_join(tree.withColumn("seg", F.get("segs", F.lit(k))), variable, [*below, "seg"], how="left")
+        longer = F.concat("prefix", F.lit("/"), F.coalesce("wild", "seg"))
+        tree = settle(named.withColumn("prefix", F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(longer)).select(*tree.columns))
+        k += 1
+    rest = F.when(F.size("segs") > k, F.concat(F.lit("/"), F.array_join(F.slice("segs", k + 1, F.greatest(F.size("segs"), F.lit(1))), "/"))).otherwise(F.lit(""))
+    return tree.withColumn("template", F.concat("prefix", rest)).drop("segs", "prefix")
 
 
 def judged(tree: DataFrame) -> DataFrame:
-    """(host, w1 .. w4, rejected): each template's verdict by smoothed purity, alike branches merged."""
-    keys, below = ["host", "w1", "w2", "w3", "w4"], ["host", "w2", "w3", "w4"]
-    leaves = settle(tree.groupBy(*keys).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+    """(host, template, rejected): each template's verdict by smoothed purity, alike siblings merged."""
+    leaf = ["host", "template"]
+    leaves = settle(tree.groupBy(*leaf).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
     total = leaves.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).first()
     overall = (total["b"] or 0) / total["l"] if total["l"] else 0.0
-    pools = leaves.groupBy(*below).agg(F.sum("labelled").alias("pool_l"), F.sum("bad").alias("pool_b")).where("pool_l > 0")
-    rate, pool = F.col("bad") / F.col("labelled"), F.col("pool_b") / F.col("pool_l")
-    near = F.abs(rate - pool) <= F.lit(DEVIATIONS) * F.sqrt(pool * (F.lit(1.0) - pool) / F.col("labelled")) + F.lit(SLACK)
-    compared = leaves.join(pools, below, "left").withColumn("alike", F.when((F.col("labelled") > 0) & F.col("pool_l").isNotNull(), near).otherwise(F.lit(False)))
-    merged = compared.where("alike").groupBy(*below).agg(F.sum("labelled").alias("m_l"), F.sum("bad").alias("m_b"))
-    both = compared.join(merged, below, "left")
-    lab = F.when(F.col("alike"), F.col("m_l")).otherwise(F.col("labelled"))
-    bad = F.when(F.col("alike"), F.col("m_b")).otherwise(F.col("bad"))
-    purity = (bad + F.lit(WEIGHT * overall)) / (lab + F.lit(WEIGHT))
-    return both.select(*keys, ((lab > 0) & (purity >= REJECT)).alias("rejected"))
-
-
-def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", label=None) -> DataFrame:
+    # a template's key at a level: all of it but the segment there
+    w, places = F.col("w"), F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
+    keys = F.transform(places, lambda k: F.struct(k.alias("level"), F.xxhash64(k, F.slice(w, F.lit(1), k - 1), F.slice(w, k + 1, F.size(w))).alias("key")))
+    known = leaves.where("labelled > 0").withColumn("w", segments(F.col("template")))
+    at = settle(known.select(*leaf, "labelled", "bad", F.inline(keys)))
+    group = ["host", "level", "key"]  # siblings: few, as most of many children are one wildcard
+    pools = at.groupBy(*group).agg(F.sum("labelled").alias("pool_l"), F.sum("bad").alias("pool_b"))
+    others_l, others_b = F.nullif(F.col("pool_l") - F.col("labelled"), F.lit(0)), F.col("pool_b") - F.col("bad")
+    pool = F.col("pool_b") / F.col("pool_l")
+    chance = F.lit(DEVIATIONS) * F.sqrt(pool * (F.lit(1.0) - pool) * (F.lit(1.0) / F.col("labelled") + F.lit(1.0) / others_l)) + F.lit(SLACK)
+    alike = settle(at.join(pools, group).where(F.abs(F.col("bad") / F.col("labelled") - others_b / others_l) <= chance).select(*group, "template", "labelled", "bad"))
+    merged = alike.groupBy(*group).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    ways = leaves.select(*leaf, F.lit(0).alias("level"), F.col("labelled").alias("l"), F.col("bad").alias("b")).unionByName(alike.join(merged, group).select(*leaf, "level", "l", "b"))
+    best = ways.groupBy(*leaf).agg(F.max_by(F.struct("l", "b"), F.struct("l", -F.col("level"))).alias("x"))
+    purity = (F.col("x.b") + F.lit(WEIGHT * overall)) / (F.col("x.l") + F.lit(WEIGHT))
+    return best.select(*leaf, ((F.col("x.l") > 0) & (purity >= REJECT)).alias("rejected"))
+
+
+def filter_urls(
+    pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", label: Callable[[Column, Column, Column], Column] | None = None,
+    evidence: Callable[[Column], Column] | None = None, html_col: str = "html",
+) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict (allow or block), template.
 
-    ``label`` makes a label column of (host, path, the rule's verdict); without it rules' verdicts are the labels.
+    ``label`` makes a label column of (host, path, the rule's verdict); without it rules' verdicts are the
+    labels, and where no rule fits, what ``evidence`` makes of the page's ``html_col``.
 
     Defined cases: a null url or one without ``://`` has an empty host and path, as a host of its own;
     repeated rows count each and get equal values; a null id is carried along; an empty table gives no rows;
-    no labels at all: everything no rule blocks is allowed; other columns are not read.
+    no labels at all: everything no rule blocks is allowed; a segment that is a star is taken for a
+    wildcard; a null html is no evidence; other columns are not read.
     """
-    url = pick(pages, page_id=id_col, url=url_col).select("page_id", F.col("url").cast("string").alias("url"))
-    host, path = host_and_path(F.col("url"))
-    split = url.select("page_id", host.alias("host"), path.alias("path"))
-    split = split.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("by_rule"), shape(F.col("path")).alias("norm"))
-    said = F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0)
-    marked = split.withColumn("label", label(F.col("host"), F.col("path"), F.col("by_rule")) if label else said)
-    shapes = settle(marked.groupBy("host", "norm").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum(F.coalesce(F.col("label"), F.lit(0))).cast("long").alias("bad")))
+    url = F.col("url").cast("string")
+    seen = evidence(F.col("html").cast("string")) if evidence else F.lit(None)
+    columns = {"page_id": id_col, "url": url_col} | ({"html": html_col} if evidence else {})
+    host, path = host_and_path(url)
+    split = pick(pages, **columns).select("page_id", host.alias("host"), path.alias("path"), seen.cast("int").alias("seen"))
+    split = split.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "seen", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("by_rule"), shape(F.col("path")).alias("norm"))
+    said = F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0).otherwise(F.col("seen"))
+    marked = settle(split.withColumn("label", label(F.col("host"), F.col("path"), F.col("by_rule")) if label else said).drop("seen"))
+    shapes = marked.groupBy("host", "norm").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum(F.coalesce(F.col("label"), F.lit(0))).cast("long").alias("bad"))
     tree = settle(templates(shapes))
-    verdicts = judged(tree)
-    keys = ["host", "w1", "w2", "w3", "w4"]
-    by_shape = tree.join(verdicts, keys).select("host", "norm", "rejected", F.concat(F.lit("/"), F.concat_ws("/", "w1", "w2", "w3"), F.when(F.col("w4") == "*", F.lit("/*")).otherwise(F.col("w4"))).alias("template"))
+    by_shape = settle(spread_join(tree.select("host", "norm", "template"), judged(tree), ["host", "template"]))
     verdict = F.coalesce(F.col("by_rule"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
-    return split.join(by_shape, ["host", "norm"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
+    return spread_join(marked, by_shape, ["host", "norm"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
 
 
 #: The rules of the query.
 RULES = [Rule("com/en/", "block"), Rule("example.com/en/7", "allow"), Rule("net/de/", "allow"), Rule("example.net/de/8", "block"), Rule("org/es/", "block")]
-#: A small labelled table: words of hosts known to be bad, beside the rules' own verdicts.
-BAD_WORDS = ("casino", "pills", "bets", "spam", "adult", "ads")
+#: A small labelled table: words that tell bad pages where they stand in a page by themselves.
+BAD_WORDS = ("adult", "ads", "bets", "betting", "casino", "escort", "jackpot", "payday", "pills", "poker", "porn", "replica", "roulette", "spam", "viagra", "warez", "xxx")
+_BAD = "(^|[^0-9A-Za-z])(" + "|".join(BAD_WORDS) + ")([^0-9A-Za-z]|$)"
+
+
+def page_evidence(html: Column) -> Column:
+    """1 for pages with a bad word anywhere in their html, 0 for others, null without html."""
+    return F.when(html.isNotNull(), html.rlike(_BAD).cast("int"))
 
 
-def query_label(host: Column, path: Column, by_rule: Column) -> Column:
-    """1 for hosts with a bad word, else the rule's verdict."""
-    return F.when(host.rlike(r"(^|[.-])(" + "|".join(BAD_WORDS) + r")([.-]|$)"), 1).when(by_rule == "block", 1).when(by_rule == "allow", 0)
+#: Levels of the tree that the SQL spells out; the query goes as deep as its paths need.
+SQL_LEVELS = 6
 
 
 def oracle_sql() -> str:
@@ -148,36 +174,43 @@ def oracle_sql() -> str:
         for i, r in sorted(enumerate(RULES), key=lambda x: (-len(x[1].text), -len(x[1].host), x[1].text))
     )
     of = lambda what: "case rule_at" + "".join(f" when {i} then '{getattr(r, what)}'" for i, r in enumerate(RULES)) + " end"
-    levels, parents = "", "host"
-    source = "cut"
-    for k, s in enumerate(LEVELS):
-        w = f"w{k + 1}"
+    levels, source = "", "cut"
+    for k in range(1, SQL_LEVELS + 1):
         levels += f""",
-c{k} as (select {parents}, {s}, sum(n) as own from {source} group by {parents}, {s}),
-p{k} as (select {parents}, count(*) as fan, sum(own) as whole from c{k} group by {parents}),
-n{k} as (select {parents}, {s}, case when fan > {FAN} and own * {SHARE} < whole then '*' else {s} end as {w} from c{k} join p{k} using ({parents})),
-t{k} as (select * from {source} join n{k} using ({parents}, {s}))"""
-        source, parents = f"t{k}", f"{parents}, {w}"
+c{k} as (select host, prefix, segs[{k}] as seg, sum(n) as own from {source} where len(segs) >= {k} group by all),
+p{k} as (select host, prefix, count(*) as fan, sum(own) as whole from c{k} group by all),
+n{k} as (select host, prefix, seg, case when fan > {FAN} and own * {SHARE} < whole then '*' else seg end as w from c{k} join p{k} using (host, prefix)),
+t{k} as (
+  select s.host, s.norm, s.labelled, s.bad, s.n, s.segs, case when w is null then s.prefix else s.prefix || '/' || w end as prefix
+  from {source} s left join n{k} on s.host = n{k}.host and s.prefix = n{k}.prefix and s.segs[{k}] = n{k}.seg
+)"""
+        source = f"t{k}"
     return f"""
 with hosts as (
-  select page_id, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end, '') as after from pages
+  select page_id, html, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end, '') as after from pages
 ), cut_urls as (
-  select page_id, translate(regexp_extract(after, '(?s)^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') as host, regexp_extract(after, '(?s)^[^/?#]*([^?#]*)', 1) as path from hosts
+  select page_id, html, translate(regexp_extract(after, '(?s)^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') as host, regexp_extract(after, '(?s)^[^/?#]*([^?#]*)', 1) as path from hosts
 ), ruled as (select *, case{cases} end as rule_at, regexp_replace(path, '[0-9]+', '0', 'g') as norm from cut_urls),
 named as (select *, {of("text")} as rule, {of("verdict")} as by_rule from ruled),
-marked as (select *, case when regexp_matches(host, '(^|[.-])({"|".join(BAD_WORDS)})([.-]|$)') then 1 when by_rule = 'block' then 1 when by_rule = 'allow' then 0 end as label from named),
+marked as (select * exclude (html), case when by_rule = 'block' then 1 when by_rule = 'allow' then 0 when html is not null then cast(regexp_matches(html, '{_BAD}') as int) end as label from named),
 shapes as (select host, norm, count(*) as n, count(label) as labelled, coalesce(sum(label), 0) as bad from marked group by host, norm),
-cut as (select *, split_part(norm, '/', 2) as s1, split_part(norm, '/', 3) as s2, split_part(norm, '/', 4) as s3, regexp_extract(norm, '(?s)^[^/]*/[^/]*/[^/]*/[^/]*(/.*)$', 1) as rest from shapes){levels},
-leaves as (select {parents}, sum(labelled) as labelled, sum(bad) as bad from t3 group by {parents}),
+cut as (select *, string_split(norm, '/')[2:] as segs, '' as prefix from shapes){levels},
+tree as (select host, norm, labelled, bad, prefix || case when len(segs) > {SQL_LEVELS} then '/' || array_to_string(segs[{SQL_LEVELS + 1}:], '/') else '' end as template from t{SQL_LEVELS}),
+leaves as (select host, template, sum(labelled) as labelled, sum(bad) as bad from tree group by all),
 overall as (select case when sum(labelled) > 0 then sum(bad)::double / sum(labelled)::double else 0 end as g from leaves),
-pools as (select host, w2, w3, w4, sum(labelled)::double as pool_l, sum(bad)::double as pool_b from leaves group by host, w2, w3, w4 having sum(labelled) > 0),
-compared as (
-  select leaves.*, case when labelled > 0 and pool_l is not null then abs(bad::double / labelled::double - pool_b / pool_l) <= {DEVIATIONS} * sqrt(pool_b / pool_l * (1 - pool_b / pool_l) / labelled::double) + {SLACK} else false end as alike
-  from leaves left join pools using (host, w2, w3, w4)
-), merged as (select host, w2, w3, w4, sum(labelled) as m_l, sum(bad) as m_b from compared where alike group by host, w2, w3, w4),
-verdicts as (
-  select {parents}, case when alike then m_l else labelled end > 0 and ((case when alike then m_b else bad end)::double + {WEIGHT} * g) / ((case when alike then m_l else labelled end)::double + {WEIGHT}) >= {REJECT} as rejected
-  from compared left join merged using (host, w2, w3, w4), overall
-), by_shape as (select host, norm, rejected, '/' || w1 || '/' || w2 || '/' || w3 || case when w4 = '*' then '/*' else w4 end as template from t3 join verdicts using ({parents}))
-select page_id, host, path, rule, coalesce(by_rule, case when rejected then 'block' else 'allow' end) as verdict, template from marked join by_shape using (host, norm)
+known as (select *, string_split(template, '/')[2:] as w from leaves where labelled > 0),
+ways as (select host, template, labelled::double as labelled, bad::double as bad, w, unnest(range(1, len(w) + 1)) as level from known),
+placed as (select *, w[1:level - 1] as ahead, w[level + 1:] as behind from ways),
+pools as (select host, level, ahead, behind, sum(labelled) as pool_l, sum(bad) as pool_b from placed group by all),
+alike as (
+  select placed.* from placed join pools using (host, level, ahead, behind)
+  where pool_l - labelled > 0 and abs(bad / labelled - (pool_b - bad) / (pool_l - labelled)) <= {DEVIATIONS} * sqrt(pool_b / pool_l * (1.0 - pool_b / pool_l) * (1.0 / labelled + 1.0 / (pool_l - labelled))) + {SLACK}
+), merged as (select host, level, ahead, behind, sum(labelled) as l, sum(bad) as b from alike group by all),
+every as (
+  select host, template, 0 as level, labelled::double as l, bad::double as b from leaves
+  union all select host, template, level, l, b from alike join merged using (host, level, ahead, behind)
+), best as (select *, row_number() over (partition by host, template order by l desc, level) as way from every),
+verdicts as (select host, template, l > 0 and (b + {WEIGHT} * g) / (l + {WEIGHT}) >= {REJECT} as rejected from best, overall where way = 1)
+select page_id, host, path, rule, coalesce(by_rule, case when rejected then 'block' else 'allow' end) as verdict, template
+from marked join tree using (host, norm) join verdicts using (host, template)
 """
