@@ -35,11 +35,15 @@ def require_local(master: str) -> None:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    It cuts the lineage, survives lost executors, and keeps later reads columnar.
+    It cuts the lineage, survives lost executors, and keeps later reads columnar. The table goes when the
+    driver's JVM ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

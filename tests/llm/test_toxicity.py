@@ -49,3 +49,45 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert toxicity.classify(docs.limit(0), chain).count() == 0
     empty = toxicity.train(docs, labels.limit(0), ["messy", "bad"])
     assert {r.rejected for r in toxicity.classify(docs, empty).collect()} == {0}
+
+
+def test_chain_against_plain_python(spark):
+    """Features by their definition and the chain's sums, step by step."""
+    import math
+    import re
+    import zlib
+
+    def plain_features(text):
+        words = {}
+        for token in set((text or "").split()):
+            mine = set()
+            for core in re.findall(r"[^\W\d_]+", token.lower()):
+                mine.add(zlib.crc32(core.encode()))
+                mine |= {zlib.crc32(str(n).encode() + core[:n].encode()) for n in (4, 5) if len(core) >= n}
+            if not token.isalpha():
+                shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[1-9]", "0", token))
+                mine.add(zlib.crc32(b"s" + re.sub(r"(.)\1+", r"\1+", shape)[:16].encode()))
+            elif len(token) > 2 and token.isupper():
+                mine.add(zlib.crc32(b"upper"))
+            for f in mine:
+                words[f] = words.get(f, 0) + 1
+        return {f for f in words} | {toxicity.shared(f, n) for f, c in words.items() for n in (2, 4, 8) if c >= n}
+
+    rows = texts(random.Random(3), 400) + [(900, "É12 zonk-murk ZONK 3,4!! (zonk) a_b", 0, 1), (901, None, 0, 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, m, b) for i, _, m, b in rows], "doc_id long, messy int, bad int")
+    chain = toxicity.train(docs, labels, ["messy", "bad"])
+    got = {r.doc_id: r for r in toxicity.classify(docs, chain).collect()}
+    for i, t, _, _ in rows:
+        found, p = plain_features(t), []
+        for weights, earlier, intercept in chain.models:
+            x = intercept + sum(weights.get(f, 0.0) for f in found) + sum(w * q for w, q in zip(earlier, p))
+            p.append(1 / (1 + math.exp(-x)))
+        assert abs(got[i].p_messy - p[0]) < 1e-9 and abs(got[i].p_bad - p[1]) < 1e-9
+        assert got[i].rejected == int(bool(t) and p[1] >= 0.5)
+
+
+def test_categories_come_from_the_label_table(spark):
+    labels = spark.createDataFrame([(1, 0, 1, 0, 1)], "doc_id long, quality int, insult int, threat int, toxic int")
+    made, names = toxicity.category_labels(labels)
+    assert names == ["low_quality", "insult", "threat", "toxic"] and made.first()[1:] == (1, 1, 0, 1)
