@@ -22,7 +22,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles with a similarity of 0.8 or more: that of the smallest id."""
+    """One document of each group linked by five-word shingles with a similarity of 0.8 or more, that of the smallest id.
+
+    Links come from SimHash with Golay keys and an exact join of what those cannot reach.
+    """
     return neardup.deduplicated(docs)
 
 
