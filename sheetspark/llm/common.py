@@ -53,19 +53,34 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 #: A key with more than one part in ``PARTS`` of all rows is hot, and its rows are dealt over ``SALTS`` tasks.
 PARTS, SALTS = 1024, 32
+#: Rows of a table of numbers and short texts that is sent to all tasks at most; larger ones are shuffled.
+SMALL_TABLE = 100_000
 
 
-def spread_join(rows: DataFrame, single: DataFrame, key: str | list[str], like: DataFrame | None = None, how: str = "inner", parts: int = PARTS, salts: int = SALTS) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], total: int, parts: int = PARTS) -> DataFrame:
+    """Those of ``counts`` (keys, _n) with more than one part in ``parts`` of ``total`` rows: fewer than ``parts``."""
+    return counts.where(F.col("_n") * parts > F.lit(max(total, 16 * parts))).select(*keys, F.lit(True).alias("_hot"))
+
+
+def spread_join(
+    rows: DataFrame, single: DataFrame, key: str | list[str], like: DataFrame | None = None, how: str = "inner", narrow: bool = True, hot: DataFrame | None = None,
+    parts: int = PARTS, salts: int = SALTS, small: int = SMALL_TABLE,
+) -> DataFrame:
     """``rows`` joined with ``single`` (a row for each key) so that no key's rows meet in one task.
 
-    Hot keys, fewer than ``parts`` by their definition, are sent to all tasks; rows that have one are dealt
+    A settled ``single`` of ``small`` rows at most that is ``narrow`` (numbers and short texts only) is sent to
+    all tasks. Otherwise hot keys, fewer than ``parts`` by their definition, are; rows that have one are dealt
     by a hash of the row, and its row of ``single`` is there once for each salt. ``like`` is a settled table
-    with the keys of ``rows``, where ``rows`` itself would have to be computed to count them.
+    with the keys of ``rows``, where ``rows`` itself would have to be computed to count them, or ``hot`` are
+    its ``hot_keys`` already.
     """
     keys = [key] if isinstance(key, str) else key
-    like = rows if like is None else like
-    total = like.count()
-    hot = F.broadcast(like.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * parts > F.lit(max(total, 16 * parts))).select(*keys, F.lit(True).alias("_hot")))
+    if narrow and small and len(single.limit(small + 1).select(F.lit(1)).groupBy().count().where(F.col("count") <= small).head(1)):
+        return rows.join(F.broadcast(single), keys, how)
+    if hot is None:
+        like = rows if like is None else like
+        hot = hot_keys(like.groupBy(*keys).agg(F.count("*").alias("_n")), keys, like.count(), parts)
+    hot = F.broadcast(hot)
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
@@ -73,6 +88,14 @@ def spread_join(rows: DataFrame, single: DataFrame, key: str | list[str], like:
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def text_slices(texts, limit: int = 8 << 20) -> Iterator:
+    """Slices of an Arrow array of texts of about ``limit`` bytes at most; a single longer text makes a slice of its own."""
+    import pyarrow as pa
+
+    for part in text_batches([pa.RecordBatch.from_arrays([texts], ["text"])], limit):
+        yield part.column(0)
+
+
 def text_batches(batches: Iterator, limit: int = 8 << 20) -> Iterator:
     """Slices of Arrow batches whose last column, a text, has about ``limit`` bytes at most.
 

@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import settle, spread_join, text_batches
+from .common import hot_keys, settle, spread_join, text_batches
 from .graph import components
 
 WORDS = 5
 #: Similarity as a fraction: 0.8.
 SIMILARITY = (4, 5)
 MEET, SMALL = 4, 16
+#: Counters of a set's own shingles.
+BINS = 512
 #: Counters that shingles fall into for their order, and how many of them are told apart.
 SLOTS, HEAVY = 1 << 18, 1 << 16
 #: Rounds in which large buckets are thinned out before all that is left is compared, as long as one in
@@ -98,8 +100,29 @@ def simhash_of(hashes_of_shingles) -> int:
     return int(np.packbits(total * 2 > len(hashes_of_shingles), bitorder="little").view(np.int64)[0])
 
 
+def histogram(hashes_of_shingles) -> bytes:
+    """How many shingles fall into each of ``BINS``, a byte each; nothing if a byte does not hold one of them."""
+    import numpy as np
+
+    counts = np.bincount((hashes_of_shingles % BINS).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_be_similar(na, nb, ha: list[bytes], hb: list[bytes]):
+    """Whether sets of so many shingles can be similar enough: they have no more in common than their histograms."""
+    import numpy as np
+
+    both = np.minimum(na, nb)
+    told = np.array([len(x) == len(y) == BINS for x, y in zip(ha, hb)], bool)
+    at = np.flatnonzero(told)
+    if len(at):
+        one, other = (np.frombuffer(b"".join(h[i] for i in at), np.uint8).reshape(-1, BINS) for h in (ha, hb))
+        both[at] = np.minimum(both[at], np.minimum(one, other).sum(1, dtype=np.int64))
+    return both * SIMILARITY[1] >= (na + nb - both) * SIMILARITY[0]
+
+
 def sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, th, node, n, fp, keys) of rows (doc_id, th, text): node stands for the set of n shingles, 0 for the empty one; fp is its SimHash."""
+    """(doc_id, th, node, n, fp, bins, keys) of rows (doc_id, th, text): node stands for the set of n shingles, 0 for the empty one; fp is its SimHash, bins its histogram."""
     import numpy as np
 
     heavy = np.zeros(SLOTS, np.int64)
@@ -114,7 +137,7 @@ def sets(texts: DataFrame) -> DataFrame:
 
         order = shared.value
         for batch in text_batches(batches):
-            nodes, sizes, prints, keys = [], [], [], []
+            nodes, sizes, prints, bins, keys = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = hashes(text)
                 n = len(h)
@@ -122,13 +145,14 @@ def sets(texts: DataFrame) -> DataFrame:
                 nodes.append(xxh64_intdigest(h.tobytes(), 7) if n else 0)
                 sizes.append(n)
                 prints.append(simhash_of(h))
+                bins.append(histogram(h))
                 keys.append(first.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
             signed = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed, pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), lists], ["doc_id", "th", "node", "n", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed, pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(bins, pa.binary()), lists], ["doc_id", "th", "node", "n", "fp", "bins", "keys"])
 
-    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, node long, n int, fp long, keys array<long>")
+    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, node long, n int, fp long, bins binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
@@ -148,13 +172,24 @@ def verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFra
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
+    def possible(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy().astype("int64") for i in (2, 3))
+            ok = may_be_similar(na, nb, batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    # first histograms, then the texts of what is left
     pairs = settle(pairs)
+    one, other = (distinct.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"h{x}")) for x in "ab")
+    told = spread_join(spread_join(pairs, other, "b", narrow=False), one, "a", pairs, narrow=False).select("a", "b", "na", "nb", "ha", "hb")
+    pairs = settle(told.mapInArrow(possible, "a long, b long"))
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    some = distinct.join(nodes, "node").select("node", "th")
-    ids = texts.select("th")
-    told = settle(spread_join(texts.select("th", "text"), some, "th", ids).groupBy("node").agg(F.first("text").alias("text")))
+    some = settle(distinct.join(nodes, "node").select("node", "th"))
+    told = settle(spread_join(texts.select("th", "text"), some, "th", texts.select("th")).groupBy("node").agg(F.first("text").alias("text")))
     first, second = (told.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
-    both = spread_join(spread_join(pairs, second, "b"), first, "a", pairs)
+    both = spread_join(spread_join(pairs, second, "b", narrow=False), first, "a", pairs, narrow=False)
     return settle(both.select("a", "b", "b_text", "a_text").mapInArrow(run, "a long, b long"))
 
 
@@ -181,13 +216,14 @@ def least_met(n):
 
 def links(distinct: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFrame:
     """(a, b): links between sets that connect all that are similar enough."""
-    keys = settle(distinct.select("node", "n", F.explode("keys").alias("key")))
+    keys = distinct.select("node", "n", F.explode("keys").alias("key"))
+    total = distinct.agg(F.sum(F.size("keys"))).first()[0] or 0
     sizes = settle(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    held = settle(spread_join(keys, sizes, "key"))
+    held = settle(spread_join(keys, sizes, "key", hot=hot_keys(sizes.select("key", F.col("members").alias("_n")), ["key"], total)))
     # keys of a set with large buckets, and the first of them in which it meets any that it meets in such only
     crowded = settle(held.where(F.col("members") > small))
     crowds = settle(crowded.groupBy("node").agg(F.count("*").alias("crowds")))
-    few = settle(held.where(F.col("members") <= small).join(crowds, "node", "left").select("key", "node", "n", F.coalesce("crowds", F.lit(0)).alias("crowds")))
+    few = settle(spread_join(held.where(F.col("members") <= small), crowds, "node", held, "left").select("key", "node", "n", F.coalesce("crowds", F.lit(0)).alias("crowds")))
     one, other = (few.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("crowds").alias(f"c{x}")) for x in "ab")
     pairs = (
         one.join(other, "key").where(F.col("a") < F.col("b")).where(_close("na", "nb"))
@@ -196,15 +232,15 @@ def links(distinct: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFram
     )
     found = verified(pairs.unionByName(seeds(distinct)).distinct(), distinct, texts)
     at = F.row_number().over(Window.partitionBy("node").orderBy("members", "key"))
-    large = crowded.join(crowds, "node").withColumn("at", at).where(F.col("at") <= F.col("crowds") - least_met(F.col("n")) + 1).select("key", "node", "n")
+    large = spread_join(crowded, crowds, "node").withColumn("at", at).where(F.col("at") <= F.col("crowds") - least_met(F.col("n")) + 1).select("key", "node", "n")
     large = settle(large)
     if not large.head(1):
         return found
     for turn in range(ROUNDS + 1):
         label = components(found)
-        now = settle(large.join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
+        now = settle(spread_join(large, label, "node", how="left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
         apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("p")).where("low < high")
-        large = settle(spread_join(now, apart.select("key", "p"), "key"))
+        large = settle(spread_join(now, settle(apart.select("key", "p")), "key"))
         if not large.head(1):
             return found
         if turn == ROUNDS:
@@ -231,7 +267,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     texts = docs.select(key.cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("string").alias("text"))
     found = settle(sets(texts))
-    distinct = settle(found.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    distinct = settle(found.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("keys").alias("keys")))
     label = components(links(distinct, texts, small))
     every = settle(distinct.select("node").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     rows = settle(spread_join(found.where("doc_id is not null").select("doc_id", "th", "node"), every, "node").select("doc_id", "th", "label"))

@@ -22,7 +22,7 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
-from .common import pick, text_batches
+from .common import pick, text_batches, text_slices
 from .crf import Crf
 
 #: The kinds in their order, and the parts of their patterns.
@@ -360,9 +360,14 @@ def redacted(docs: DataFrame, text_col: str = "text", model: Model | None = None
 
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def clean(texts):
-        found = find([t if isinstance(t, str) else None for t in texts], shared.value)
-        return texts.__class__([redact(t, spans) if isinstance(t, str) else None for t, (_, spans) in zip(texts, found)], dtype=object)
+        import pyarrow as pa
+
+        out = []
+        for part in text_slices(texts):
+            some = part.to_pylist()
+            out += [None if t is None else redact(t, spans) for t, (_, spans) in zip(some, find(some, shared.value))]
+        return pa.array(out, pa.string())
 
-    return docs.withColumn(text_col, clean(F.col(f"`{text_col}`")))
+    return docs.withColumn(text_col, clean(F.col(f"`{text_col}`").cast("string")))

@@ -18,7 +18,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, settle, spread_join, text_batches
+from .common import hot_keys, pick, settle, spread_join, text_batches
 from .graph import components
 
 #: Fingerprints of a bucket that are compared with each other; more go the other, equally exact way.
@@ -91,8 +91,8 @@ def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
     that connect the same fingerprints.
     """
     keys = settle(golay_keys(distinct))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    held = settle(spread_join(keys, sizes, "key"))
+    sizes = settle(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    held = settle(spread_join(keys, sizes, "key", hot=hot_keys(sizes.select("key", F.col("n").alias("_n")), ["key"], keys.count())))
     few = held.where(F.col("n") <= small).select("key", "fp")
     pairs = (
         few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key")
@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links(distinct))
     # a label is a fingerprint of the component; its document is the first of all its fingerprints
     linked = settle(labels.join(distinct, labels.node == distinct.fp).select("node", "label", "first"))
-    firsts = linked.groupBy("label").agg(F.min("first").alias("component_id"))
+    firsts = settle(linked.groupBy("label").agg(F.min("first").alias("component_id")))
     component = spread_join(linked, firsts, "label").select(F.col("node").alias("fp"), "component_id")
     own = settle(distinct.join(component, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return spread_join(found, own, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

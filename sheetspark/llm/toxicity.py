@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_batches
+from .common import pick, text_batches, text_slices
 from .linear import Rows, fit, out_of_fold, sigmoid
 
 #: Labelled documents used for training at most.
@@ -239,15 +239,17 @@ def kept(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     tokens: list[Tokens] = []
 
-    @F.pandas_udf("boolean")
+    @F.arrow_udf("boolean")
     def clean(texts):
+        import pyarrow as pa
+
         model = shared.value
         if not tokens:
             tokens.append(Tokens(model.used))
-        out = [not isinstance(t, str) or not t.strip() or model.predict(tokens[0].of(t))[-1] < threshold for t in texts]
-        return texts.__class__(out, dtype=bool)
+        out = [not t or not t.strip() or model.predict(tokens[0].of(t))[-1] < threshold for part in text_slices(texts) for t in part.to_pylist()]
+        return pa.array(out, pa.bool_())
 
-    return docs.where(clean(F.col(f"`{text_col}`")))
+    return docs.where(clean(F.col(f"`{text_col}`").cast("string")))
 
 
 def category_labels(labels: DataFrame, id_col: str = "doc_id", last: str = "toxic") -> tuple[DataFrame, list[str]]:

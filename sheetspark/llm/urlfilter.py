@@ -88,9 +88,9 @@ def templates(shapes: DataFrame) -> DataFrame:
         if most <= FAN:
             break
         children = settle(deep.groupBy(*below, F.get("segs", F.lit(k)).alias("seg")).agg(F.sum("n").alias("own")))
-        wide = children.groupBy(*below).agg(F.count("*").alias("fan"), F.sum("own").alias("whole")).where(F.col("fan") > FAN)
-        variable = settle(spread_join(children, wide, below).where(F.col("own") * SHARE < F.col("whole")).select(*below, "seg", F.lit("*").alias("wild")))
-        named = spread_join(tree.withColumn("seg", F.get("segs", F.lit(k))), variable, [*below, "seg"], how="left")
+        wide = settle(children.groupBy(*below).agg(F.count("*").alias("fan"), F.sum("own").alias("whole")).where(F.col("fan") > FAN))
+        variable = settle(spread_join(children, wide, below, narrow=False).where(F.col("own") * SHARE < F.col("whole")).select(*below, "seg", F.lit("*").alias("wild")))
+        named = spread_join(tree.withColumn("seg", F.get("segs", F.lit(k))), variable, [*below, "seg"], how="left", narrow=False)
         longer = F.concat("prefix", F.lit("/"), F.coalesce("wild", "seg"))
         tree = settle(named.withColumn("prefix", F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(longer)).select(*tree.columns))
         k += 1
@@ -146,9 +146,9 @@ def filter_urls(
     marked = settle(split.withColumn("label", label(F.col("host"), F.col("path"), F.col("by_rule")) if label else said).drop("seen"))
     shapes = marked.groupBy("host", "norm").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum(F.coalesce(F.col("label"), F.lit(0))).cast("long").alias("bad"))
     tree = settle(templates(shapes))
-    by_shape = settle(spread_join(tree.select("host", "norm", "template"), judged(tree), ["host", "template"]))
+    by_shape = settle(spread_join(tree.select("host", "norm", "template"), judged(tree), ["host", "template"], narrow=False))
     verdict = F.coalesce(F.col("by_rule"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
-    return spread_join(marked, by_shape, ["host", "norm"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
+    return spread_join(marked, by_shape, ["host", "norm"], narrow=False).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
 
 
 #: The rules of the query.

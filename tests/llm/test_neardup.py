@@ -64,3 +64,16 @@ def test_stage_drops_near_copies(spark):
     got = corpus_pipeline.near_dedup_stage(spark, df, "")
     assert sorted(r.text for r in got.collect()) == sorted(r[1] for r in rows[1:]) and got.columns == df.columns
     assert corpus_pipeline.near_dedup_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_histograms_never_rule_out_similar_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (1, 4, 60, 700, 200_000):
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.5, 0.8, 0.89, 0.95, 1.0):
+            other = np.unique(np.concatenate([base[: int(len(base) * share)], rng.integers(0, 1 << 63, n - int(n * share)).astype(np.uint64)]))
+            alike = neardup.similar(set(base.tolist()), set(other.tolist()))
+            assert not alike or neardup.may_be_similar(np.array([len(base)]), np.array([len(other)]), [neardup.histogram(base)], [neardup.histogram(other)])[0]
+    assert neardup.may_be_similar(np.array([0]), np.array([0]), [neardup.histogram(base[:0])], [neardup.histogram(base[:0])])[0]
