@@ -115,16 +115,16 @@ class Packer:
         """The rest: full windows, then sequences of falling powers of two."""
         while self.tokens >= self.window:
             yield from self._fill()
-        rest = [self._take(max(self.by_length)) for _ in range(self.pieces)]
+        rest = [self._take(max(self.by_length)) for _ in range(self.pieces)][::-1]  # the next one last
         left = sum(len(ids) for _, _, ids, _ in rest) // 4
         while left:
             size, chosen = 1 << (left.bit_length() - 1), []
             left -= size
             while size:
-                doc_id, start, ids, total = rest.pop(0)
+                doc_id, start, ids, total = rest.pop()
                 chosen.append((doc_id, start, ids[: size * 4], total))
                 if len(ids) > size * 4:
-                    rest.insert(0, (doc_id, start + size, ids[size * 4 :], total))
+                    rest.append((doc_id, start + size, ids[size * 4 :], total))
                 size -= len(chosen[-1][2]) // 4
             yield from self._sequence(chosen)
 

@@ -84,7 +84,7 @@ def levels_of(feature: int) -> tuple[int, int, int, int]:
 class Tokens:
     """Features of texts; those of tokens are remembered up to a bound. ``only`` keeps those that a model uses."""
 
-    def __init__(self, only: set[int] | None = None, limit: int = 300_000):
+    def __init__(self, only: set[int] | None = None, limit: int = 100_000):
         self.only, self.limit, self.known = only, limit, {}
         self.blank: set[str] = set()  # tokens without a feature that is used: nearly all, so they are taken off at once
         if only is not None:

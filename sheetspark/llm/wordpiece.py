@@ -14,7 +14,7 @@ import unicodedata
 import numpy as np
 
 #: Words remembered by one Python worker, in each of two generations. It bounds memory only.
-REMEMBERED = 300_000
+REMEMBERED = 80_000
 #: Code points handled here; whatever lies beyond goes to the tokenizer as a whole.
 LATIN = 0x250
 
