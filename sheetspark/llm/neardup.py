@@ -11,7 +11,7 @@ the first ``n - ceil(0.8 n) + MEET`` shingles of each (in all that must be commo
 These are the keys. A pair that meets in buckets of more than ``SMALL`` sets no more often than the one
 of the two that has fewer such keys must meet in smaller ones as often as is left, so it is a candidate there;
 or both have at least as many such keys as they must meet in, and meet in the first few of these. Only
-those are compared in large buckets: with one member first, and then those that are in different components
+those are compared in large buckets: with a few members first, and then those that are in different components
 still, so a large group of copies costs in proportion to its members. All candidates are verified on the
 shingles themselves, and components follow from the links.
 
@@ -37,9 +37,9 @@ MEET, SMALL = 4, 16
 BINS = 512
 #: Counters that shingles fall into for their order, and how many of them are told apart.
 SLOTS, HEAVY = 1 << 18, 1 << 16
-#: Rounds in which large buckets are thinned out before all that is left is compared, as long as one in
-#: ``WORTH`` comparisons finds a link.
-ROUNDS, WORTH = 6, 20
+#: Members of a large bucket that its others are compared with in a round, and rounds before all that is left
+#: is compared, as long as one in ``WORTH`` comparisons finds a link.
+PIVOTS, ROUNDS, WORTH = 8, 6, 50
 
 
 def shingles(text: str | None, words_each: int = WORDS) -> list[bytes]:
@@ -122,7 +122,7 @@ def may_be_similar(na, nb, ha: list[bytes], hb: list[bytes]):
 
 
 def sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, th, node, n, fp, bins, keys) of rows (doc_id, th, text): node stands for the set of n shingles, 0 for the empty one; fp is its SimHash, bins its histogram."""
+    """(doc_id, th, node, n, fp, bins, last, keys) of rows (doc_id, th, text): node stands for the set of n shingles, 0 for the empty one; fp is its SimHash, bins its histogram, last the place of its last key in the order."""
     import numpy as np
 
     heavy = np.zeros(SLOTS, np.int64)
@@ -137,7 +137,7 @@ def sets(texts: DataFrame) -> DataFrame:
 
         order = shared.value
         for batch in text_batches(batches):
-            nodes, sizes, prints, bins, keys = [], [], [], [], []
+            nodes, sizes, prints, bins, lasts, keys = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = hashes(text)
                 n = len(h)
@@ -146,13 +146,16 @@ def sets(texts: DataFrame) -> DataFrame:
                 sizes.append(n)
                 prints.append(simhash_of(h))
                 bins.append(histogram(h))
+                lasts.append((int(order[int(first[-1] % SLOTS)]), int(first[-1]) - (1 << 63)) if n else (0, 0))
                 keys.append(first.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
             signed = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed, pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(bins, pa.binary()), lists], ["doc_id", "th", "node", "n", "fp", "bins", "keys"])
+            rank = pa.StructArray.from_arrays([pa.array([c for c, _ in lasts], pa.int64()), pa.array([x for _, x in lasts], pa.int64())], ["c", "h"])
+            columns = [batch.column(0), batch.column(1), signed, pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(bins, pa.binary()), rank, lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "n", "fp", "bins", "last", "keys"])
 
-    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, node long, n int, fp long, bins binary, keys array<long>")
+    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, node long, n int, fp long, bins binary, last struct<c:long,h:long>, keys array<long>")
 
 
 def verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
@@ -199,6 +202,16 @@ def _close(a: str, b: str):
     return low * SIMILARITY[1] >= high * SIMILARITY[0]
 
 
+def _enough(a: str, b: str):
+    """Whether sets that meet in no keys but those of large buckets can be similar enough.
+
+    Common shingles that are keys of the set whose last key comes first are keys of the other too. So this
+    set has no more in common with the other than ``room``: all but those of its keys that it can't meet in.
+    """
+    room = F.when(F.col(f"last{a}") <= F.col(f"last{b}"), F.col(f"room{a}")).otherwise(F.col(f"room{b}"))
+    return room * (SIMILARITY[0] + SIMILARITY[1]) >= (F.col(f"n{a}") + F.col(f"n{b}")) * SIMILARITY[0]
+
+
 def seeds(distinct: DataFrame) -> DataFrame:
     """(a, b): sets whose fingerprints are the same or link by their Golay keys, as stars around the least of each fingerprint."""
     first = settle(distinct.groupBy("fp").agg(F.min("node").alias("first")))
@@ -232,28 +245,31 @@ def links(distinct: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFram
     )
     found = verified(pairs.unionByName(seeds(distinct)).distinct(), distinct, texts)
     at = F.row_number().over(Window.partitionBy("node").orderBy("members", "key"))
-    large = spread_join(crowded, crowds, "node").withColumn("at", at).where(F.col("at") <= F.col("crowds") - least_met(F.col("n")) + 1).select("key", "node", "n")
-    large = settle(large)
+    large = spread_join(crowded, crowds, "node").withColumn("at", at).where(F.col("at") <= F.col("crowds") - least_met(F.col("n")) + 1)
+    place = settle(distinct.join(crowds, "node").select("node", (F.col("n") - F.size("keys") + F.col("crowds")).alias("room"), "last"))
+    member = ["node", "n", "room", "last"]
+    large = settle(spread_join(settle(large.select("key", "node", "n")), place, "node").select("key", *member))
     if not large.head(1):
         return found
     for turn in range(ROUNDS + 1):
         label = components(found)
-        now = settle(spread_join(large, label, "node", how="left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
-        apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("p")).where("low < high")
-        large = settle(spread_join(now, settle(apart.select("key", "p")), "key"))
+        now = settle(spread_join(large, label, "node", how="left").select("key", *member, F.coalesce("label", "node").alias("label")))
+        apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array_distinct(F.array(*[F.min_by(F.struct(*member, "label"), F.xxhash64("label", "node", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)])).alias("pivots")).where("low < high")
+        large = settle(spread_join(now, settle(apart.select("key", "pivots")), "key"))
         if not large.head(1):
             return found
         if turn == ROUNDS:
             break
-        compared = large.where("label <> p.label").select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-        compared = settle(compared.where(_close("na", "nb")).select("a", "b").distinct())
+        compared = large.select("*", F.explode("pivots").alias("p")).where("label <> p.label").select(*[F.col(f"p.{c}").alias(f"{c}a") for c in member], *[F.col(c).alias(f"{c}b") for c in member])
+        compared = settle(compared.where(_close("na", "nb") & _enough("a", "b")).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct())
         more = verified(compared, distinct, texts)
         found = found.unionByName(more)
         if more.count() * WORTH < compared.count():
             break
-        large = large.select("key", "node", "n")
-    one, other = (large.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-    rest = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).where(_close("na", "nb")).select("a", "b").distinct()
+        large = large.select("key", *member)
+    one, other = (large.select("key", *[F.col(c).alias(f"{c}{x}") for c in (*member, "label")]) for x in "ab")
+    apart = (F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & _close("na", "nb") & _enough("a", "b")
+    rest = one.join(other, "key").where(apart).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
     return found.unionByName(verified(rest, distinct, texts))
 
 
@@ -267,7 +283,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     texts = docs.select(key.cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("string").alias("text"))
     found = settle(sets(texts))
-    distinct = settle(found.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("keys").alias("keys")))
+    distinct = settle(found.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("last").alias("last"), F.first("keys").alias("keys")))
     label = components(links(distinct, texts, small))
     every = settle(distinct.select("node").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     rows = settle(spread_join(found.where("doc_id is not null").select("doc_id", "th", "node"), every, "node").select("doc_id", "th", "label"))
