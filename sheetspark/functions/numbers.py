@@ -25,9 +25,17 @@ def wrap(c: Column, bits: int) -> Column:
     return (F.pmod(truncate(c) + half, whole) - half).cast(WHOLE).cast(name)
 
 
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def parse_decimal(c: Column) -> Column:
     """A text that is a number as a whole, without spaces around it; null otherwise."""
-    return F.when(c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), c.try_cast(DECIMAL))
+    return F.when(c.rlike(_NUMBER), c.try_cast(DECIMAL))
+
+
+def parse_double(c: Column) -> Column:
+    """A text that is a number as a whole as a double, however large or small."""
+    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
 
 
 def parse_wrapped(c: Column, bits: int) -> Column:

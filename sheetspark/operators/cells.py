@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
 
-#: Kinds: S string, N number, B boolean, D date, E error; a null struct is an empty cell.
-CELL = "struct<kind:string,s:string,n:decimal(38,18),b:boolean,ts:timestamp_ntz,display:string,formula:string>"
+#: Kinds: S string, N number, B boolean, D date, E error; a null struct is an empty cell. A number is there as a
+#: decimal, null if it does not fit one, and as a double.
+CELL = "struct<kind:string,s:string,n:decimal(38,18),d:double,b:boolean,ts:timestamp_ntz,display:string,formula:string>"
 
 
 def cell(kind: str, s=None, n=None, b=None, ts=None, display=None, formula=None) -> Column:
@@ -16,7 +17,7 @@ def cell(kind: str, s=None, n=None, b=None, ts=None, display=None, formula=None)
     values = {"S": s, "N": n, "B": b, "D": ts, "E": s}[kind]
     null = lambda c, t: F.lit(None).cast(t) if c is None else c.cast(t)
     made = F.struct(
-        F.lit(kind).alias("kind"), null(s, "string").alias("s"), null(n, numbers.DECIMAL).alias("n"), null(b, "boolean").alias("b"),
+        F.lit(kind).alias("kind"), null(s, "string").alias("s"), (F.lit(None) if n is None else n.try_cast(numbers.DECIMAL)).cast(numbers.DECIMAL).alias("n"), null(n, "double").alias("d"), null(b, "boolean").alias("b"),
         null(ts, "timestamp_ntz").alias("ts"), null(display, "string").alias("display"), null(formula, "string").alias("formula"),
     )
     return F.when(values.isNotNull(), made)
@@ -30,7 +31,7 @@ def of(value: Column, type_name: str) -> Column:
         return cell("B", b=value)
     if type_name in ("date", "datetime"):
         return cell("D", ts=value.cast("timestamp_ntz"))
-    return cell("N", n=value.cast(numbers.DECIMAL))
+    return cell("N", n=value)
 
 
 def text(value: Column, type_name: str) -> Column:
@@ -48,10 +49,16 @@ def text(value: Column, type_name: str) -> Column:
     return value.cast("string")
 
 
+def number_text(c: Column) -> Column:
+    """The digits of a number cell; of one that its decimal does not hold, the double's text."""
+    lost = c["n"].isNull() | ((c["n"] == 0) & (c["d"] != 0))
+    return F.when(lost, c["d"].cast("string")).otherwise(numbers.plain_string(c["n"]))
+
+
 def display(c: Column) -> Column:
     """What a cell shows: its display text if it has one, else its value's text."""
     shown = (
-        F.when(c["kind"] == "N", numbers.plain_string(c["n"])).when(c["kind"] == "B", c["b"].cast("string"))
+        F.when(c["kind"] == "N", number_text(c)).when(c["kind"] == "B", c["b"].cast("string"))
         .when(c["kind"] == "D", F.date_format(c["ts"], "yyyy-MM-dd HH:mm:ss")).otherwise(c["s"])
     )
     return F.coalesce(c["display"], shown)
@@ -60,7 +67,7 @@ def display(c: Column) -> Column:
 def actual(c: Column) -> Column:
     """The typed value of a cell as a variant."""
     return (
-        F.when(c["kind"] == "N", F.to_variant_object(F.struct(c["n"].alias("v")))).when(c["kind"] == "B", F.to_variant_object(F.struct(c["b"].alias("v"))))
+        F.when((c["kind"] == "N") & c["n"].isNull(), F.to_variant_object(F.struct(c["d"].alias("v")))).when(c["kind"] == "N", F.to_variant_object(F.struct(c["n"].alias("v")))).when(c["kind"] == "B", F.to_variant_object(F.struct(c["b"].alias("v"))))
         .when(c["kind"] == "D", F.to_variant_object(F.struct(c["ts"].alias("v")))).otherwise(F.to_variant_object(F.struct(c["s"].alias("v"))))
     )
 
@@ -72,4 +79,4 @@ def is_empty(c: Column) -> Column:
 
 def serial_cell(c: Column, use_1904: bool = False) -> Column:
     """A date cell as the number that a workbook stores."""
-    return F.when(c["kind"] == "D", dates.to_serial(c["ts"], use_1904)).otherwise(c["n"].cast("double"))
+    return F.when(c["kind"] == "D", dates.to_serial(c["ts"], use_1904)).otherwise(c["d"])

@@ -95,13 +95,19 @@ def default_registry() -> Registry:
         r.register_writer(t, "cell", lambda v, x: cells.cell("N", n=v))
         r.register_writer(t, "boolean", lambda v, x: cells.cell("B", b=v == 1))
         r.register_writer(t, "string", _number_text(t))
+    for t in ("float", "double"):  # not through decimals, which hold neither large nor tiny ones
+        del r.finish[t]
+        to = SPARK_TYPES[t]
+        r.register_reader(t, "B", lambda c, x, to=to: F.when(c["b"], 1).otherwise(0).cast(to))
+        r.register_reader(t, "N", lambda c, x, to=to: c["d"].cast(to))
+        r.register_reader(t, "S", lambda c, x, to=to: (numbers.parse_by_pattern(c["s"], x.format).cast("double") if x.format else numbers.parse_double(c["s"])).cast(to))
     for t in ("ubyte", "ushort", "uint", "ulong"):
         by_number, by_text = _strict(t)
         r.register_reader(t, "N", by_number).register_reader(t, "S", by_text)
         r.register_reader(t, "B", lambda c, x, t=t: F.when(c["b"], 1).otherwise(0).cast(SPARK_TYPES[t]))
         r.register_writer(t, "cell", lambda v, x: cells.cell("N", n=v)).register_writer(t, "string", _number_text("long"))
     r.register_reader("boolean", "B", lambda c, x: c["b"])
-    r.register_reader("boolean", "N", lambda c, x: c["n"] == 1)
+    r.register_reader("boolean", "N", lambda c, x: c["d"] == 1)
     r.register_reader("boolean", "S", lambda c, x: text.boolean_value(c["s"]))
     r.register_writer("boolean", "cell", lambda v, x: cells.cell("B", b=v))
     r.register_writer("boolean", "number", lambda v, x: cells.cell("N", n=F.when(v, 1).otherwise(0)))
@@ -148,7 +154,7 @@ def _shows_dates(pattern: str | None) -> bool:
 def loose_boolean(c: Column) -> Column:
     """Fallback without a registered converter: non-zero is true; true and 1, false and 0 as text; null otherwise."""
     return (
-        F.when(c["kind"] == "B", c["b"]).when(c["kind"] == "N", c["n"] != 0)
+        F.when(c["kind"] == "B", c["b"]).when(c["kind"] == "N", c["d"] != 0)
         .when(F.lower(c["s"]).isin("true", "1"), True).when(F.lower(c["s"]).isin("false", "0"), False)
     )
 

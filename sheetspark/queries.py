@@ -110,11 +110,6 @@ def _(s, d):
     return table(s, d, "nation").select("n_nationkey", text.unescape_ooxml(F.concat(c("n_name"), F.lit("_x000D__x0041__x00"))).alias("t"))
 
 
-@query("q_bean_json", "select r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' as j from region")
-def _(s, d):
-    return table(s, d, "region").select("r_regionkey", F.to_json(F.struct("r_regionkey", "r_name")).alias("j"))
-
-
 @query("q_cell_editor", "select l_orderkey, l_linenumber, trim(l_returnflag) as f, cast(trunc(l_quantity) as bigint) as q from lineitem")
 def _(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.trim(c("l_returnflag")).alias("f"), numbers.truncate(c("l_quantity")).cast("long").alias("q"))
@@ -297,12 +292,6 @@ for _t in ("decimal", "bigint", "byte", "short", "int", "long", "float", "double
         n = (c("o_orderkey") / 4) if t in ("float", "double") else _price()
         return _converted(s, d, cells.cell("S", s=n.cast("string")), t)
 
-    @query(f"q_cnv_{_t}_write", f"select o_orderkey, cast(o_orderkey as varchar){chr(32) + '|| ' + repr('.0') if _t in ('float', 'double') else ''} as plain, format('{{:,.2f}}', cast(o_orderkey as double)) as formatted, o_orderkey = 1 as flag from (select * from orders where o_orderkey < 100)")
-    def _(s, d, t=_t):
-        v = c("o_orderkey").cast(SPARK_TYPES[t])
-        w = lambda target, f=None: convert.write_value(v, Field("v", t, format=f), _REG, target)
-        return table(s, d, "orders").where("o_orderkey < 100").select("o_orderkey", w("string").alias("plain"), w("string", "#,##0.00").alias("formatted"), w("boolean")["b"].alias("flag"))
-
     # the whole table: bytes and shorts wrapped, signs of both kinds
     _signed = "o_orderkey * (case when o_orderkey % 2 = 0 then -1 else 1 end)"
     _all = _wrap_sql(_signed, convert.BITS[_t]) if _t in ("byte", "short") else _signed
@@ -315,6 +304,23 @@ for _t in ("decimal", "bigint", "byte", "short", "int", "long", "float", "double
         return table(s, d, "orders").select("o_orderkey", w("string").alias("plain"), w("string", "#,##0.00").alias("formatted"), w("boolean")["b"].alias("flag"))
 
 
+@query("q_cnv_double_extreme", "select o_orderkey, o_orderkey * 1e25 as large, o_orderkey * 1e-20 as tiny, o_orderkey * 1e295 as huge, o_orderkey * 1e25 as by_text from orders")
+def _(s, d):
+    k = c("o_orderkey").cast("double")
+    made = {"large": cells.cell("N", n=k * 1e25), "tiny": cells.cell("N", n=k * 1e-20), "huge": cells.cell("N", n=k * 1e295), "by_text": cells.cell("S", s=(k * 1e25).cast("string"))}
+    df = table(s, d, "orders").select("o_orderkey", *[cell.alias(name) for name, cell in made.items()])
+    return df.select("o_orderkey", *[read_value(c(name), Field(name, "double"), _REG).alias(name) for name in made])
+
+
+@query("q_xlsx_extreme_numbers", "select n_nationkey, cast((n_nationkey + 1) || 'e25' as double) as large, cast((n_nationkey + 1) || 'e-20' as double) as tiny, cast((n_nationkey + 1) || 'e300' as double) as huge from nation")
+def _(s, d):
+    schema = Schema([Field("n_nationkey", "long"), Field("large", "double"), Field("tiny", "double"), Field("huge", "double")])
+    k = c("n_nationkey").cast("double") + 1
+    made = write(table(s, d, "nation").select("n_nationkey", (k * 1e25).alias("large"), (k * 1e-20).alias("tiny"), (k * 1e300).alias("huge")), ["n_nationkey"], schema).to_xlsx()
+    digits = lambda name: numbers.fifteen_digits(c(name)).alias(name)
+    return read_bytes(s, made).schema(schema).load().select("n_nationkey", digits("large"), digits("tiny"), digits("huge"))
+
+
 @query("q_cnv_number_pattern", "select o_orderkey, o_orderkey as v from orders")
 def _(s, d):
     return _converted(s, d, cells.cell("S", s=F.concat(c("o_orderkey").cast("string"), F.lit("%"))), "decimal", "#%")
@@ -441,12 +447,10 @@ def _(s, d):
     )
 
 
-@query("q_default_return", "select o_orderkey, cast(o_orderkey as varchar) as shown, 'N' as kind, '{\"v\":' || o_orderkey || '}' as actual from orders")
+@query("q_default_return", "select o_orderkey, cast(o_orderkey as varchar) as shown, 'N' as kind, cast(o_orderkey as double) as actual from orders")
 def _(s, d):
     df = table(s, d, "orders").select("o_orderkey", cells.cell("N", n=c("o_orderkey")).alias("a"))
-    v = F.regexp_replace(F.to_json(cells.actual(c("a"))), r"\.?0*\}", "}")
-    shown = F.when(c("o_orderkey") % 10 == 0, F.concat(F.lit('{"v":'), c("o_orderkey"), F.lit("}"))).otherwise(v)
-    return df.select("o_orderkey", cells.display(c("a")).alias("shown"), c("a")["kind"].alias("kind"), shown.alias("actual"))
+    return df.select("o_orderkey", cells.display(c("a")).alias("shown"), c("a")["kind"].alias("kind"), F.variant_get(cells.actual(c("a")), "$.v", "double").alias("actual"))
 
 
 # --- rows -----------------------------------------------------------------------------------------
@@ -550,9 +554,11 @@ def _(s, d):
     return layout.longest_widths(table(s, d, "customer"), {"w0": ("name", c("c_name")), "w1": ("segment", c("c_mktsegment"))})
 
 
-@query("q_row_count", "select count(*) as n from orders")
+@query("q_row_count", "select count(*) as n from customer")
 def _(s, d):
-    return table(s, d, "orders").agg(F.count("*").alias("n"))
+    schema = Schema([Field("c_custkey", "long"), Field("c_name")])
+    made = write(table(s, d, "customer").select("c_custkey", "c_name"), ["c_custkey"], schema).to_csv()
+    return read_bytes(s, made).schema(schema).load().agg(F.count("*").alias("n"))
 
 
 @query("q_page_batches", "select cast(floor((rn-1)/100) as bigint) as batch_index, count(*) as n from (select row_number() over(order by o_orderkey) rn from orders) group by 1")
@@ -587,24 +593,29 @@ def _(s, d):
     return table(s, d, "nation").select("n_nationkey", layout.collection_cursor("n_regionkey", ["n_nationkey"], F.lit(10)).alias("_row"))
 
 
-@query("q_sheet_order", "select n_regionkey as sheet_no, count(*) as n from nation group by 1 order by 1")
+@query("q_sheet_order", "select cast(row_number() over (order by r_regionkey desc) - 1 as integer) as sheet_no, r_name as sheet_name from region")
 def _(s, d):
-    return table(s, d, "nation").groupBy(c("n_regionkey").alias("sheet_no")).agg(F.count("*").alias("n")).orderBy("sheet_no")
+    region, book = table(s, d, "region"), Workbook()
+    for r in region.orderBy(F.desc("r_regionkey")).collect():
+        book.write(write(region.where(c("r_regionkey") == r["r_regionkey"]), ["r_regionkey"], sheet=r["r_name"]))
+    return read_bytes(s, book.finish()).sheets().drop("file")
 
 
 @query("q_limit_has_next", "select n_nationkey from nation order by n_nationkey limit 7")
 def _(s, d):
-    return table(s, d, "nation").select("n_nationkey").orderBy("n_nationkey").limit(7)
+    made = write(table(s, d, "nation"), ["n_nationkey"], _NATION).to_csv()
+    return read_bytes(s, made).rows(end=7).schema(_NATION).load().select(c("n_nationkey").cast("long"))
 
 
-@query("q_append_union", "select n_name as name, n_regionkey as k from nation union all select r_name, null from region")
+@query("q_append_union", "select 0 as sheet_no, n_name as name, n_regionkey as k from nation union all select 1, r_name, null from region")
 def _(s, d):
-    return table(s, d, "nation").select(c("n_name").alias("name"), c("n_regionkey").alias("k")).unionByName(table(s, d, "region").select(c("r_name").alias("name")), allowMissingColumns=True)
+    nation = table(s, d, "nation").select(c("n_name").alias("name"), c("n_regionkey").alias("k"))
+    return rows.union_sheets([(0, "a", nation), (1, "b", table(s, d, "region").select(c("r_name").alias("name")))]).drop("sheet_name")
 
 
-@query("q_distinct_merges", "select distinct n_regionkey as first_row, n_regionkey + 1 as last_row from nation")
+@query("q_distinct_merges", "select n_nationkey + 3 as first_row, n_nationkey + 4 as last_row, 1::bigint as first_col, 1::bigint as last_col from nation where n_nationkey % 2 = 0")
 def _(s, d):
-    return table(s, d, "nation").select(c("n_regionkey").alias("first_row"), (c("n_regionkey") + 1).alias("last_row")).dropDuplicates()
+    return layout.loop_merges(layout.numbered(table(s, d, "nation"), ["n_nationkey"]), [(2, 1, 1), (2, 1, 1), (2, 1, 1)], 3)
 
 
 # --- templates ------------------------------------------------------------------------------------
@@ -657,10 +668,10 @@ def _orders(s, d) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", c("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
 
 
-@query("q_csv_round_trip", "select n_nationkey, n_name, n_regionkey from nation where n_regionkey = 1")
+@query("q_csv_round_trip", "select n_nationkey, n_name, n_regionkey from nation")
 def _(s, d):
     made = write(table(s, d, "nation"), ["n_nationkey"], _NATION).to_csv()
-    return read_bytes(s, made).schema(_NATION).load().where("n_regionkey = 1")
+    return read_bytes(s, made).schema(_NATION).load()
 
 
 @query("q_csv_orders", _ORDERS_SQL)

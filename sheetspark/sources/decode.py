@@ -150,7 +150,7 @@ def rows(content: bytes, o: ReadOptions, labels: list[str | int] | None = None,
         yield no, name, row, cells
 
 
-CELL = "struct<kind:string,s:string,n:decimal(38,18),b:boolean,ts:timestamp_ntz,display:string,formula:string>"
+CELL = "struct<kind:string,s:string,n:decimal(38,18),d:double,b:boolean,ts:timestamp_ntz,display:string,formula:string>"
 SCHEMA = f"file string, sheet_no int, sheet_name string, _row long, cells array<{CELL}>"
 
 
@@ -176,8 +176,8 @@ def _decimals(texts: list[str | None]):
     except pa.ArrowInvalid:
         context, unit, out = decimal.Context(prec=60), decimal.Decimal("1E-18"), []
         for t in texts:
-            d = None if t is None else decimal.Decimal(t).quantize(unit, decimal.ROUND_HALF_UP, context)
-            out.append(d if d is not None and abs(d) < 10**20 else None)
+            d = None if t is None else decimal.Decimal(t)
+            out.append(d.quantize(unit, decimal.ROUND_HALF_UP, context) if d is not None and abs(d) < 10**20 - 1 else None)
         return pa.array(out, kind)
 
 
@@ -206,6 +206,7 @@ def _iso(text: str) -> int | None:
 def _batch(path: str, part: list, use_1904: bool = False):
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     flat = [c for *_, cells in part for c in cells]
     kinds = [c[0] if c else None for c in flat]
@@ -218,11 +219,11 @@ def _batch(path: str, part: list, use_1904: bool = False):
         if k == "D" and (moment := _iso(flat[i][1])) is not None:
             ts[i] = moment
     columns = [
-        pa.array([("N" if k == "T" else k) for k in kinds], pa.string()), pa.array([c[1] if c and c[0] in "SE" else None for c in flat], pa.string()), _decimals(number),
+        pa.array([("N" if k == "T" else k) for k in kinds], pa.string()), pa.array([c[1] if c and c[0] in "SE" else None for c in flat], pa.string()), _decimals(number), pc.cast(pa.array(number, pa.string()), pa.float64()),
         pa.array([c[1] == "1" if c and c[0] == "B" else None for c in flat], pa.bool_()), pa.array(ts, pa.timestamp("us"), mask=ts == np.iinfo(np.int64).min),
         pa.array([c[2] if c else None for c in flat], pa.string()), pa.array([c[3] if c else None for c in flat], pa.string()),
     ]
-    struct = pa.StructArray.from_arrays(columns, ["kind", "s", "n", "b", "ts", "display", "formula"], mask=pa.array([k is None for k in kinds], pa.bool_()))
+    struct = pa.StructArray.from_arrays(columns, ["kind", "s", "n", "d", "b", "ts", "display", "formula"], mask=pa.array([k is None for k in kinds], pa.bool_()))
     offsets = np.concatenate([[0], np.cumsum([len(cells) for *_, cells in part])]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
