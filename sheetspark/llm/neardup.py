@@ -40,6 +40,8 @@ SLOTS, HEAVY = 1 << 18, 1 << 16
 #: Members of a large bucket that its others are compared with in a round, and rounds before all that is left
 #: is compared, as long as one in ``WORTH`` comparisons finds a link.
 PIVOTS, ROUNDS, WORTH = 8, 6, 50
+#: Members of a large bucket in a block, where what is left is compared.
+BLOCK = 512
 
 
 def shingles(text: str | None, words_each: int = WORDS) -> list[bytes]:
@@ -267,10 +269,41 @@ def links(distinct: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFram
         if more.count() * WORTH < compared.count():
             break
         large = large.select("key", *member)
-    one, other = (large.select("key", *[F.col(c).alias(f"{c}{x}") for c in (*member, "label")]) for x in "ab")
-    apart = (F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & _close("na", "nb") & _enough("a", "b")
-    rest = one.join(other, "key").where(apart).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-    return found.unionByName(verified(rest, distinct, texts))
+    return found.unionByName(verified(compared_in_blocks(large, distinct, member), distinct, texts))
+
+
+def compared_in_blocks(large: DataFrame, distinct: DataFrame, member: list[str]) -> DataFrame:
+    """(a, b): members of the same bucket, in different components, that can be similar enough.
+
+    Members are dealt to blocks of about ``BLOCK``, and every two blocks of a bucket meet in a task, where they
+    are held against each other by sizes, places and histograms; only what is left of that goes on.
+    """
+    sizes = settle(large.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    dealt = spread_join(large.select("key", *member, "label"), sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    both = spread_join(both, distinct.select("node", "bins"), "node", narrow=False)
+    both = both.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "room", F.col("last.c").alias("c"), F.col("last.h").alias("h"), "label", "bins")
+
+    def run(part):
+        import numpy as np
+        import pandas as pd
+
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        one, other = (part[part["own"] == x].reset_index(drop=True) for x in (i, j))
+        out = []
+        node, n, room, c, h, label = (other[x].to_numpy() for x in ("node", "n", "room", "c", "h", "label"))
+        bins = other["bins"].tolist()
+        for r in one.itertuples():
+            first = (r.c < c) | (r.c == c) & (r.h <= h)
+            enough = np.where(first, r.room, room) * (SIMILARITY[0] + SIMILARITY[1]) >= (r.n + n) * SIMILARITY[0]
+            close = np.minimum(r.n, n) * SIMILARITY[1] >= np.maximum(r.n, n) * SIMILARITY[0]
+            at = np.flatnonzero((label != r.label) & enough & close & ((node > r.node) if i == j else (node != r.node)))
+            if len(at):
+                at = at[may_be_similar(np.full(len(at), r.n, np.int64), n[at].astype(np.int64), [r.bins] * len(at), [bins[k] for k in at])]
+                out += [(min(r.node, x), max(r.node, x)) for x in node[at].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return both.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
