@@ -235,9 +235,10 @@ def links(distinct: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFram
     total = distinct.agg(F.sum(F.size("keys"))).first()[0] or 0
     sizes = settle(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     held = settle(spread_join(keys, sizes, "key", hot=hot_keys(sizes.select("key", F.col("members").alias("_n")), ["key"], total)))
-    # keys of a set with large buckets, and the first of them in which it meets any that it meets in such only
-    crowded = settle(held.where(F.col("members") > small))
-    crowds = settle(crowded.groupBy("node").agg(F.count("*").alias("crowds")))
+    # a set's keys with large buckets, those of the smallest first: a list has no more of them than the set has keys
+    by_set = F.array_sort(F.collect_list(F.struct("members", "key")))
+    crowded = settle(held.where(F.col("members") > small).groupBy("node").agg(F.first("n").alias("n"), by_set.alias("crowd")).withColumn("crowds", F.size("crowd")))
+    crowds = crowded.select("node", "crowds")
     few = settle(spread_join(held.where(F.col("members") <= small), crowds, "node", held, "left").select("key", "node", "n", F.coalesce("crowds", F.lit(0)).alias("crowds")))
     one, other = (few.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("crowds").alias(f"c{x}")) for x in "ab")
     pairs = (
@@ -246,16 +247,18 @@ def links(distinct: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFram
         .where(F.col("met") >= least_met(F.col("n")) - F.col("crowds")).select("a", "b")
     )
     found = verified(pairs.unionByName(seeds(distinct)).distinct(), distinct, texts)
-    at = F.row_number().over(Window.partitionBy("node").orderBy("members", "key"))
-    large = spread_join(crowded, crowds, "node").withColumn("at", at).where(F.col("at") <= F.col("crowds") - least_met(F.col("n")) + 1)
-    place = settle(distinct.join(crowds, "node").select("node", (F.col("n") - F.size("keys") + F.col("crowds")).alias("room"), "last"))
+    # the first of them, in which a set meets any that it meets in such only; sets take their places and labels before their keys are dealt
+    first = (F.col("crowds") - least_met(F.col("n")) + 1).cast("int")
+    at = crowded.where(first > 0).select("node", "n", "crowds", F.transform(F.slice("crowd", 1, first), lambda x: x["key"]).alias("first"))
+    room = (F.col("n") - F.size("keys") + F.col("crowds")).cast("long").alias("room")
     member = ["node", "n", "room", "last"]
-    large = settle(spread_join(settle(large.select("key", "node", "n")), place, "node").select("key", *member))
-    if not large.head(1):
+    places = settle(distinct.select("node", "keys", "last").join(at, "node").select("node", "n", room, "last", "first"))
+    if not places.head(1):
         return found
     for turn in range(ROUNDS + 1):
         label = components(found)
-        now = settle(spread_join(large, label, "node", how="left").select("key", *member, F.coalesce("label", "node").alias("label")))
+        told = spread_join(large, label, "node", how="left") if turn else places.join(label, "node", "left").withColumn("key", F.explode("first"))
+        now = settle(told.select("key", *member, F.coalesce("label", "node").alias("label")))
         apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array_distinct(F.array(*[F.min_by(F.struct(*member, "label"), F.xxhash64("label", "node", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)])).alias("pivots")).where("low < high")
         large = settle(spread_join(now, settle(apart.select("key", "pivots")), "key"))
         if not large.head(1):
@@ -279,9 +282,9 @@ def compared_in_blocks(large: DataFrame, distinct: DataFrame, member: list[str])
     are held against each other by sizes, places and histograms; only what is left of that goes on.
     """
     sizes = settle(large.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    dealt = spread_join(large.select("key", *member, "label"), sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
+    told = spread_join(large.select("key", *member, "label"), distinct.select("node", "bins"), "node", large, narrow=False)
+    dealt = spread_join(told, sizes, "key", large).withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
     both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    both = spread_join(both, distinct.select("node", "bins"), "node", narrow=False)
     both = both.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "room", F.col("last.c").alias("c"), F.col("last.h").alias("h"), "label", "bins")
 
     def run(part):
