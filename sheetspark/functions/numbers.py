@@ -76,8 +76,8 @@ def fifteen_digits(c: Column) -> Column:
 
 
 def is_exact_integer(c: Column) -> Column:
-    """Whether a double holds the integer exactly; others are written as text."""
-    return F.abs(c) <= MAX_EXACT
+    """Whether a double holds the integer exactly; others are written as text. The least long, which has no absolute value, is none."""
+    return c.between(-MAX_EXACT, MAX_EXACT)
 
 
 def saturated(c: Column) -> Column:

@@ -173,7 +173,7 @@ def _(s, d):
 
 @query("q_exact_integer_guard", "select o_orderkey, case when abs(v)>9007199254740991 then 'text' else 'number' end as kind from (select o_orderkey, o_orderkey*10000000000000 as v from orders)")
 def _(s, d):
-    v = c("o_orderkey") * F.lit(10000000000000)
+    v = c("o_orderkey").cast("decimal(20,0)") * F.lit(10000000000000).cast("decimal(14,0)")  # a long overflows from key 922,338 on
     return table(s, d, "orders").select("o_orderkey", F.when(numbers.is_exact_integer(v), "number").otherwise("text").alias("kind"))
 
 
