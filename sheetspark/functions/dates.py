@@ -12,11 +12,13 @@ DATETIME_PATTERNS = ("yyyyMMddHHmmss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "
 DATE_PATTERNS = ("yyyy-MM-dd", "yyyy/MM/dd")
 #: Numbers of the built-in formats that show dates.
 DATE_FORMAT_IDS = (*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59))
+#: A serial number is below this: the studied system's dates end with the year 262142.
+LAST_SERIAL = 95_051_806
 _STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%j": "DDD", "%%": "'%'"}
 
 
 def from_serial(serial: Column, use_1904: bool = False) -> Column:
-    """A serial number as timestamp_ntz, to the millisecond; null for negative and non-finite ones.
+    """A serial number as timestamp_ntz, to the millisecond; null for negative and non-finite ones and beyond ``LAST_SERIAL``.
 
     In the 1900 system serials below 61 count from 1899-12-31 and others from 1899-12-30, as serial 60
     is a day that never was; 59 is 28 February, 60 and 61 are both 1 March 1900.
@@ -26,7 +28,7 @@ def from_serial(serial: Column, use_1904: bool = False) -> Column:
     millis = F.floor((d - day) * 86400000 + 0.5)
     epoch = F.lit("1904-01-01") if use_1904 else F.when(day < 61, F.lit("1899-12-31")).otherwise(F.lit("1899-12-30"))
     moment = F.timestamp_add("MILLISECOND", millis.cast("bigint"), F.timestamp_add("DAY", day.cast("int"), epoch.cast("timestamp_ntz")))
-    return F.when((d >= 0) & (d < 2958466) & ~F.isnan(d), moment)
+    return F.when((d >= 0) & (d < LAST_SERIAL) & ~F.isnan(d), moment)
 
 
 def to_serial(c: Column, use_1904: bool = False) -> Column:
@@ -77,8 +79,10 @@ def parse_date(c: Column, pattern: str | None = None) -> Column:
 
 
 def format_datetime(c: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """A date or timestamp as text."""
-    return F.date_format(c, spark_pattern(pattern))
+    """A date or timestamp as text; years beyond 9999 have all their digits and no sign."""
+    pattern = spark_pattern(pattern)
+    unsigned = "'".join(re.sub("y{4,}", "y", part) if i % 2 == 0 else part for i, part in enumerate(pattern.split("'")))
+    return F.date_format(c, pattern) if unsigned == pattern else F.when(F.year(c) > 9999, F.date_format(c, unsigned)).otherwise(F.date_format(c, pattern))
 
 
 def is_date_format(code: Column, number: Column | None = None) -> Column:
