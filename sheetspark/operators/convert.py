@@ -191,34 +191,38 @@ def bind(rows: DataFrame, columns: list[tuple[str | None, Field]], registry: Reg
     for strings that aren't nullable.
     """
     registry = registry or default_registry()
-    read, errors, values = [], [], []
+    read, errors, values, flags = [], [], [], []
     for i, (name, f) in enumerate(columns):
         if name is None or f.ignore:
             values.append(F.lit(None).cast(SPARK_TYPES[f.type]).alias(f.name))
             continue
         c, value = F.col(f"`{name}`"), F.col(f"_v{i}")
         missing = c.isNull() if f.type == "string" else cells.is_empty(c)
-        read += [read_value(c, f, registry, use_1904).alias(f"_v{i}"), missing.alias(f"_m{i}"), cells.display(c).alias(f"_d{i}")]
+        read += [read_value(c, f, registry, use_1904).alias(f"_v{i}"), cells.display(c).alias(f"_d{i}")]
+        flags.append(missing)
+        missing = F.get("_m", F.lit(len(flags) - 1))
         shown = F.col(f"_d{i}")
         place = {
             PERMISSIVE: F.struct(F.lit(name).alias("column"), F.lit(f.name).alias("field"), shown.alias("value"), F.lit(f"not a {f.type}").alias("message")),
             FAIL: F.concat(F.lit(f"cell of {f.name}: not a {f.type}: "), F.coalesce(shown, F.lit(""))), DROP: F.lit(True),
         }[mode]
-        errors.append(F.when(~F.col(f"_m{i}") & value.isNull(), place))
+        errors.append(F.when(~missing & value.isNull(), place))
         if not f.nullable:
             if f.type == "string":
                 value = F.coalesce(value, F.lit(""))
             else:
-                errors.append(F.when(F.col(f"_m{i}"), place))
+                errors.append(F.when(missing, place))
         values.append(value.alias(f.name))
+    # a function of functions, so that Spark compiles each conversion on its own: together they are a method too large for
+    # the JVM's compiler; not deterministic, so that the optimiser doesn't do the conversions once more for the filter
+    read.append(F.when(F.spark_partition_id() >= 0, F.transform(F.array(*flags).cast("array<boolean>"), lambda flag: flag)).alias("_m"))
     # values first, then what is said of them: so each is computed once
     empty = {PERMISSIVE: "struct<column:string,field:string,value:string,message:string>", FAIL: "string", DROP: "boolean"}[mode]
     bound = rows.select(*keep, *read).select(*keep, *values, F.coalesce(*errors, F.lit(None).cast(empty)).alias("_error"))
     if mode == PERMISSIVE:
         return bound
     said = F.col("_error").isNull() if mode == DROP else F.when(F.col("_error").isNotNull(), F.raise_error(F.col("_error")).isNull()).otherwise(True)
-    # not deterministic, so that the optimiser does not move the filter, and all of the conversions with it, down
-    return bound.where(said & (F.rand(0) >= 0)).drop("_error")
+    return bound.where(said).drop("_error")
 
 
 def schema_columns(schema: Schema, heads: dict[str, str], names: list[str]) -> list[tuple[str | None, Field]]:

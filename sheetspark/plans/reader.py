@@ -27,7 +27,7 @@ class SheetReader:
         self._schema: Schema | None = more.get("schema")
         self._registry: convert.Registry | None = more.get("registry")
         self._mode: str = more.get("mode", convert.FAIL)
-        self._content: bytes | None = more.get("content")
+        self._content: bytes | DataFrame | None = more.get("content")
 
     def _with(self, options: ReadOptions | None = None, **changes) -> "SheetReader":
         kept = {"schema": self._schema, "registry": self._registry, "mode": self._mode, "content": self._content}
@@ -62,6 +62,8 @@ class SheetReader:
         return self._with(mode=mode)
 
     def _files(self) -> DataFrame:
+        if isinstance(self._content, DataFrame):
+            return self._content.select("path", "content")
         if self._content is not None:
             return self._spark.createDataFrame([("bytes", bytearray(self._content))], "path string, content binary")
         return self._spark.read.format("binaryFile").load(self._path).select("path", "content")
@@ -149,6 +151,11 @@ def read_bytes(spark: SparkSession, content: bytes) -> SheetReader:
     return SheetReader(spark, "", content=content)
 
 
+def read_files(files: DataFrame) -> SheetReader:
+    """A reader of files that are rows of a table (path, content)."""
+    return SheetReader(files.sparkSession, "", content=files)
+
+
 def read_sheets(reader: SheetReader, schemas: dict[int | str, Schema], keep: tuple[str, ...] = ()) -> DataFrame:
     """Sheets with a schema each as one table with sheet_no and sheet_name."""
     from functools import reduce

@@ -1,8 +1,9 @@
 """Writing workbooks and delimited files: a builder over DataFrames.
 
 Values become texts or typed cells as Column expressions; a sheet is one ordered stream, as its format
-demands, and a sheet's rows are bounded by the format. Many workbooks are written at once, a group of rows
-each, in tasks (``workbooks``); many delimited files by Spark's text writer (``csv_parts``).
+demands, and a sheet's rows are bounded by the format. Many files are written at once in tasks: a table of any
+length by ranges of its order (``SheetWriter.files``), a workbook for each group of rows (``workbooks``), delimited
+files without heads by Spark's text writer (``csv_parts``).
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from pyspark.sql import functions as F
 
 from ..operators import convert, layout
 from ..operators.schema import Schema, head_merges
+from ..sinks import xls as xls_sink
 from ..sinks import xlsx as xlsx_sink
 from ..sources import csv as csv_source
 
+#: Rows of each of many files; a sheet that holds fewer has fewer.
+ROWS_EACH = 100_000
+
 
 @dataclass
 class WriteOptions:
@@ -132,17 +137,20 @@ class SheetWriter:
 
     def csv_chunks(self, charset: str = "utf-8", with_bom: bool = True) -> Iterator[bytes]:
         """One file's bytes in order; one partition at a time is on the driver."""
+        lines = csv_lines(self._ordered(), self.columns(), self.registry).toLocalIterator(prefetchPartitions=True)
+        return self._csv((r["value"] for r in lines), charset, with_bom)
+
+    def _csv(self, lines: Iterator[str], charset: str, with_bom: bool) -> Iterator[bytes]:
+        """The bytes of a file with the head and these records."""
         name = csv_source.charset_name(charset)
         if with_bom:
             yield csv_source.byte_order_mark(charset)
         end = "\r\n"
-        columns = self.columns()
         if self.options.need_head:
-            for row in head_grid(columns, self.options.heads):
+            for row in head_grid(self.columns(), self.options.heads):
                 yield (",".join(map(csv_source.quote, row)) + end).encode(name, "replace")
-        ordered = self._ordered()
-        for r in csv_lines(ordered, columns, self.registry).toLocalIterator(prefetchPartitions=True):
-            yield (r["value"] + end).encode(name, "replace")
+        for line in lines:
+            yield (line + end).encode(name, "replace")
 
     def to_csv(self, charset: str = "utf-8", with_bom: bool = True) -> bytes:
         return b"".join(self.csv_chunks(charset, with_bom))
@@ -229,17 +237,15 @@ class SheetWriter:
         for h in handlers:
             h.after_sheet(sheet)
 
-    def to_xlsx(self) -> bytes:
+    def to_xlsx(self, rows: Iterator | None = None) -> bytes:
         book = xlsx_sink.Workbook(self.options.use_1904)
-        self.write_into(book.sheet(self.options.sheet))
+        self.write_into(book.sheet(self.options.sheet), rows)
         return book.finish()
 
-    def to_xls(self) -> bytes:
+    def to_xls(self, rows: Iterator | None = None) -> bytes:
         """A legacy workbook: values, number formats, merges and widths."""
-        from ..sinks import xls
-
         o, columns = self.options, self.columns()
-        book = xls.Book(o.use_1904)
+        book = xls_sink.Book(o.use_1904)
         sheet = book.sheet(o.sheet)
         width = max((i for i, _ in columns), default=-1) + 1
         grid = head_grid(columns, o.heads) if o.need_head else []
@@ -251,7 +257,7 @@ class SheetWriter:
         codes: list = [None] * width
         for i, f in columns:
             codes[i] = f.format
-        for n, r in enumerate(self._values().toLocalIterator(prefetchPartitions=True)):
+        for n, r in enumerate(rows if rows is not None else self._values().toLocalIterator(prefetchPartitions=True)):
             values: list = [None] * width
             for (i, _), v in zip(columns, r):
                 values[i] = v
@@ -262,6 +268,42 @@ class SheetWriter:
         sheet.widths |= o.widths
         return book.finish()
 
+    def files(self, kind: str, rows_each: int = ROWS_EACH, charset: str = "utf-8", with_bom: bool = True) -> DataFrame:
+        """(path, content): the table as files of ``kind`` (csv, xlsx, xls), each with the head, written in tasks.
+
+        Rows are in order within files and from file to file, as paths sort. A file has ``rows_each`` rows at most,
+        or what its format's sheet holds, so a task holds no more than that of a table of any length. A table
+        without rows gives no files.
+        """
+        o = self.options
+        if o.loop_merges or o.merges:
+            raise ValueError("merged rows can't be cut into files")
+        limit = {"csv": None, "xlsx": xlsx_sink.MAX_ROWS, "xls": xls_sink.MAX_ROWS}[kind]
+        if limit is not None:
+            rows_each = min(rows_each, limit - o.head_at - (len(head_grid(self.columns(), o.heads)) if o.need_head else 0))
+        table = csv_lines(self._ordered(), self.columns(), self.registry) if kind == "csv" else self._values()
+        zoned = [f.name for f in table.schema if f.dataType.typeName() == "timestamp"]
+        table = table.withColumns({name: F.col(f"`{name}`").cast("timestamp_ntz") for name in zoned}) if zoned else table
+        # tasks take the plan without its tables
+        plan = SheetWriter.__new__(SheetWriter)
+        plan.df, plan.order, plan.schema, plan.options, plan.registry = None, None, self.schema, o, None
+
+        def run(batches):
+            import itertools
+
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            rows = (r for b in batches for r in (b.column(0).to_pylist() if kind == "csv" else zip(*(c.to_pylist() for c in b.columns))))
+            for n in itertools.count():
+                part = list(itertools.islice(rows, rows_each))
+                if not part:
+                    return
+                content = b"".join(plan._csv(iter(part), charset, with_bom)) if kind == "csv" else plan.to_xlsx(iter(part)) if kind == "xlsx" else plan.to_xls(iter(part))
+                yield pa.RecordBatch.from_arrays([pa.array([f"part-{TaskContext.get().partitionId():06d}-{n:06d}.{kind}"]), pa.array([content], pa.binary())], ["path", "content"])
+
+        return table.mapInArrow(run, "path string, content binary")
+
     def save_xlsx(self, path: str) -> None:
         save(self.df.sparkSession, path, iter([self.to_xlsx()]))
 

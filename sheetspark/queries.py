@@ -14,7 +14,7 @@ from .functions import dates, numbers, text
 from .operators import cells, convert, fill, layout, rows
 from .operators.convert import default_registry, read_value
 from .operators.schema import SPARK_TYPES, Field, Schema
-from .plans.reader import read_bytes
+from .plans.reader import read_bytes, read_files
 from .plans.writer import Workbook, write, string_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -676,8 +676,8 @@ def _(s, d):
 
 @query("q_csv_orders", _ORDERS_SQL)
 def _(s, d):
-    made = write(_orders(s, d), ["o_orderkey"], _ORDERS).to_csv()
-    return read_bytes(s, made).schema(_ORDERS).load().withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    made = write(_orders(s, d), ["o_orderkey"], _ORDERS).files("csv")
+    return read_files(made).schema(_ORDERS).load().withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("q_csv_gbk", "select n_nationkey, '国' || n_name as n_name, n_regionkey from nation")
@@ -696,13 +696,13 @@ def _(s, d):
 @query("q_xlsx_round_trip", _ORDERS_SQL)
 def _(s, d):
     made = write(_orders(s, d), ["o_orderkey"], _ORDERS).to_xlsx()
-    return read_bytes(s, made).schema(_ORDERS).load().withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return read_bytes(made).schema(_ORDERS).load().withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("q_xls_round_trip", _ORDERS_SQL)
 def _(s, d):
     made = write(_orders(s, d), ["o_orderkey"], _ORDERS).to_xls()
-    return read_bytes(s, made).schema(_ORDERS).load().withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return read_bytes(made).schema(_ORDERS).load().withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _book(s, d) -> bytes:
