@@ -701,8 +701,8 @@ def _(s, d):
 
 @query("q_xls_round_trip", _ORDERS_SQL)
 def _(s, d):
-    made = write(_orders(s, d), ["o_orderkey"], _ORDERS).to_xls()
-    return read_bytes(made).schema(_ORDERS).load().withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    made = write(_orders(s, d), ["o_orderkey"], _ORDERS).files("xls")
+    return read_files(made).schema(_ORDERS).load().withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _book(s, d) -> bytes:
