@@ -10,7 +10,8 @@ expected tokens are the fitted ones, and a document is drawn or not independentl
 Targets are tempered shares, ``share ** exponent``, unless given. Every source and language is a class
 of its own. Up to ``LOCAL`` cells are fitted on the driver, more as a table, in the same steps. Topics are
 ``TOPICS`` clusters of texts by their words: spherical k-means over hashed words weighted by rarity, fitted
-on ``SAMPLE`` different texts at most (chosen by a hash of the text); every text gets its nearest cluster.
+on all texts (those with the same counters once); every text gets its nearest cluster. What is summed over
+texts are integers, so neither partitions nor where it is done have a bearing on the topics.
 """
 
 from __future__ import annotations
@@ -21,11 +22,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_batches, text_slices
+from .common import settle, text_slices
 
 TOPICS = 8
-#: Different texts that topics are fitted on at most, and the counters their words are hashed to.
-SAMPLE, WIDTH = 2000, 2048
+#: Counters that words are hashed to; a set of them is as many bits.
+WIDTH = 2048
+#: Sets of counters that are clustered on the driver, in the same steps as more of them are in tasks.
+FEW = 20_000
+#: Beginnings tried for each centre, sets of counters unpacked at once, and the integer that a sum's 1 is.
+TRIED, CHUNK, UNIT = 6, 1000, 1 << 24
 KEEP, EXPONENT = 0.6, 0.7
 #: Cells that are fitted on the driver; where they are fitted has no bearing on what they are fitted to.
 LOCAL = 100_000
@@ -38,7 +43,7 @@ class Topics:
     """Clusters of texts; a text without words has topic 0."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights = weights  # topics x counters
+        self.weights = weights  # topics x counters, whole numbers
 
     def of(self, columns: np.ndarray) -> int:
         return int(self.weights[:, columns].sum(1).argmax()) if len(self.weights) else 0
@@ -49,44 +54,145 @@ def columns_of(words: set[bytes]) -> np.ndarray:
     return np.unique(np.fromiter(map(zlib.crc32, words), np.uint32) % WIDTH)
 
 
+def packed(columns: np.ndarray) -> bytes:
+    """A set of counters as bits."""
+    there = np.zeros(WIDTH, bool)
+    there[columns] = True
+    return np.packbits(there).tobytes()
+
+
+def _unpacked(sets: list[bytes]) -> np.ndarray:
+    """sets x counters, 0 or 1."""
+    return np.unpackbits(np.frombuffer(b"".join(sets), np.uint8)).reshape(len(sets), WIDTH).astype(np.float64)
+
+
+def _units(weights: np.ndarray) -> np.ndarray:
+    """Weights as whole numbers of 1 / UNIT: sums of such are exact, in any order."""
+    return np.rint(weights * UNIT)
+
+
+class _Sets:
+    """Different, not empty sets of counters: a list, or a table of a column of bits."""
+
+    def __init__(self, sets: list[bytes] | DataFrame):
+        self.sets = sets
+
+    def summed(self, part, size: int) -> np.ndarray:
+        """The sum of the ``size`` integers that ``part`` gives for a list of sets."""
+        if isinstance(self.sets, list):
+            return sum((part(self.sets[i : i + CHUNK]) for i in range(0, len(self.sets), CHUNK)), np.zeros(size, np.int64))
+
+        def run(batches):
+            import pyarrow as pa
+
+            out = np.zeros(size, np.int64)
+            for sets in _chunks(batches):
+                out += part(sets)
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["at", "n"])
+
+        found = self.sets.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(size, np.int64)
+        out[found["at"].to_numpy()] = found["n"].to_numpy()
+        return out
+
+    def least(self, key, n: int) -> list[bytes]:
+        """The ``n`` sets with the least numbers that ``key`` gives for a list of sets."""
+        def pick(chunks):
+            out = []
+            for sets in chunks:
+                keys = key(sets)
+                some = np.flatnonzero(keys <= np.partition(keys, n - 1)[n - 1]) if len(keys) > n else range(len(keys))
+                out = sorted(out + [(float(keys[i]), sets[i]) for i in some])[:n]
+            return out
+
+        if isinstance(self.sets, list):
+            return [s for _, s in pick(self.sets[i : i + CHUNK] for i in range(0, len(self.sets), CHUNK))]
+
+        def run(batches):
+            import pyarrow as pa
+
+            out = pick(_chunks(batches))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.float64()), pa.array([s for _, s in out], pa.binary())], ["key", "bits"])
+
+        return [bytes(r["bits"]) for r in self.sets.mapInArrow(run, "key double, bits binary").orderBy("key", "bits").limit(n).collect()]
+
+
+def _chunks(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, CHUNK):
+            yield batch.column(0).slice(i, CHUNK).to_pylist()
+
+
 def cluster(rows: list[np.ndarray], topics: int = TOPICS, rounds: int = 25) -> Topics:
-    """Topics of texts given by their counters; each centre begins as the text that is least like all before."""
-    if not rows:
-        return Topics(np.zeros((0, WIDTH), np.float32))
-    there = np.zeros((len(rows), WIDTH), np.float32)
-    for row, columns in zip(there, rows):
-        row[columns] = 1
-    rare = np.log((1 + len(rows)) / (1 + there.sum(0))).astype(np.float32)
-    x = there * rare
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centres = x[:1]
-    while len(centres) < min(topics, len(rows)):
-        centres = np.vstack([centres, x[(x @ centres.T).max(1).argmin()]])
-    for _ in range(rounds):
-        nearest = (x @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, x)
+    """Topics of texts given by their counters."""
+    return cluster_sets(_Sets(sorted({packed(r) for r in rows if len(r)})), topics, rounds)
+
+
+def cluster_sets(sets: _Sets, topics: int = TOPICS, rounds: int = 25) -> Topics:
+    """Topics of different sets of counters.
+
+    Each centre begins as one of them: ``TRIED`` are drawn by their hashes, with odds as they are unlike all
+    centres before, and that which leaves the sets least unlike their nearest centre is taken (k-means++).
+    """
+    def count(some):
+        return np.append(_unpacked(some).sum(0).astype(np.int64), len(some))
+
+    *there, n = sets.summed(count, WIDTH + 1)
+    rare = np.log((1 + n) / (1 + np.array(there, float)))
+
+    def like(some, centres):
+        """sets x counters, the sets' lengths, and sets x centres: how alike they are."""
+        there = _unpacked(some)
+        found = there @ np.vstack([_units(centres * rare), _units(rare**2)]).T / UNIT
+        lengths = np.maximum(np.sqrt(found[:, -1]), 1e-3)
+        return there, lengths, found[:, :-1] / lengths[:, None]
+
+    def unlike(some, centres):
+        return np.maximum(1 - like(some, centres)[2], 0).min(1) if len(centres) else np.ones(len(some))
+
+    def vector(one):
+        there, lengths, _ = like([one], np.zeros((0, WIDTH)))
+        return there[0] * rare / lengths[0]
+
+    centres = np.zeros((0, WIDTH))
+    while len(centres) < min(topics, n):
+        now, step = centres, bytes([len(centres) % 256])
+
+        def key(some):
+            chance = np.array([(zlib.crc32(s + step) + 0.5) / 2**32 for s in some])
+            return -np.log(chance) / np.maximum(unlike(some, now), 1e-12)
+
+        tried = [np.vstack([now, vector(s)]) for s in sets.least(key, TRIED)]
+
+        def cost(some):
+            each = like(some, np.vstack([now, *[t[-1:] for t in tried]]))[2]
+            known = each[:, : len(now)].max(1, initial=0)
+            return np.rint((1 - np.maximum(known[:, None], each[:, len(now) :])) * UNIT).astype(np.int64).sum(0)
+
+        centres = tried[int(sets.summed(cost, len(tried)).argmin())]
+    for _ in range(rounds if len(centres) else 0):
+        now = centres
+
+        def moved(some):
+            there, lengths, alike = like(some, now)
+            share = np.zeros((len(now), len(some)))
+            share[alike.argmax(1), np.arange(len(some))] = np.rint(UNIT / lengths)
+            return (share @ there).astype(np.int64).ravel()
+
+        sums = sets.summed(moved, centres.size).reshape(centres.shape) * rare
         new = np.where(sums.any(1, keepdims=True), sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
         if np.allclose(new, centres, atol=1e-6):
             break
         centres = new
-    return Topics(centres * rare)
-
+    return Topics(_units(centres * rare))
 
-def fit_topics(texts: DataFrame, sample: int = SAMPLE) -> Topics:
-    """Topics of a column of texts; ``sample`` different ones of them, as counters, reach the driver at most."""
-    texts = texts.toDF("text").where("text is not null").select(F.xxhash64(F.lit(5), "text").alias("h"), "text")
-    chosen = F.broadcast(texts.select("h").distinct().orderBy("h").limit(sample))
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in text_batches(batches):
-            packed = [np.packbits(np.bincount(columns_of(set(t.encode("utf-8", "surrogatepass").split())), minlength=WIDTH).astype(bool)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["h", "bits"])
-
-    rows = texts.join(chosen, "h").mapInArrow(run, "h long, bits binary").groupBy("h").agg(F.min("bits").alias("bits"))
-    return cluster([np.flatnonzero(np.unpackbits(np.frombuffer(bytes(bits), np.uint8))) for _, bits in sorted(map(tuple, rows.collect()))])
+def fit_topics(bits: DataFrame, few: int = FEW) -> Topics:
+    """Topics of a settled column of sets of counters, of all that are different and not empty; ``few`` reach the driver at most."""
+    sets = bits.toDF("bits").where("bits is not null").distinct()
+    found = [bytes(r["bits"]) for r in sets.limit(few + 1).collect()]
+    return cluster_sets(_Sets(sorted(found) if len(found) <= few else settle(sets)))
 
 
 def measure(text: str | None, topics: Topics | None = None) -> tuple[int, int]:
@@ -95,20 +201,42 @@ def measure(text: str | None, topics: Topics | None = None) -> tuple[int, int]:
     return len(words), topics.of(columns_of(set(words))) if words and topics else 0
 
 
-def measured(text, topics: Topics, spark):
-    """A column of structs: tokens and topic of a text column. It runs once a row, however often its fields are read."""
-    shared = spark.sparkContext.broadcast(topics)
-
-    @F.arrow_udf("tokens long, topic int")
+def counted(text):
+    """A column of structs: tokens and set of counters (null without words) of a text column. It runs once a row, however often its fields are read."""
+    @F.arrow_udf("tokens long, bits binary")
     def run(texts):
         import pyarrow as pa
 
-        rows = [measure(t, shared.value) for part in text_slices(texts) for t in part.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.int32())], ["tokens", "topic"])
+        tokens, bits = [], []
+        for part in text_slices(texts):
+            for t in part.to_pylist():
+                words = (t or "").encode("utf-8", "surrogatepass").split()
+                tokens.append(len(words))
+                bits.append(packed(columns_of(set(words))) if words else None)
+        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(bits, pa.binary())], ["tokens", "bits"])
 
     return run.asNondeterministic()(text)
 
 
+def topic_of(bits, topics: Topics, spark):
+    """A column: the topic of a column of sets of counters; 0 for null."""
+    shared = spark.sparkContext.broadcast(topics)
+
+    @F.arrow_udf("int")
+    def run(column):
+        import pyarrow as pa
+
+        weights, out = shared.value.weights, np.zeros(len(column), np.int32)
+        for i in range(0, len(column) if len(weights) else 0, CHUNK):
+            some = column.slice(i, CHUNK).to_pylist()
+            there = np.array([s is not None for s in some])
+            if there.any():
+                out[i : i + CHUNK][there] = (_unpacked([s for s in some if s is not None]) @ weights.T).argmax(1)
+        return pa.array(out)
+
+    return run(bits)
+
+
 def rake(tokens: np.ndarray, targets: list[np.ndarray], keep: float, rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
     """Fitted tokens of each cell; ``targets`` has shares for the classes of each axis, summing to 1.
 
@@ -236,8 +364,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     are drawn together; null ids hash alike; an empty table gives no rows; other columns are not read.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    chosen = docs.select(*[F.col(f"`{c}`").alias(own) for own, c in (("doc_id", id_col), ("source", source_col), ("lang", lang_col))], measured(text, fit_topics(docs.select(text)), docs.sparkSession).alias("m"))
-    stats = settle(chosen.select("doc_id", "source", "lang", "m.topic", "m.tokens"))
+    chosen = docs.select(*[F.col(f"`{c}`").alias(own) for own, c in (("doc_id", id_col), ("source", source_col), ("lang", lang_col))], counted(text).alias("m"))
+    sets = settle(chosen.select("doc_id", "source", "lang", "m.bits", "m.tokens"))
+    topics = fit_topics(sets.select("bits"))
+    stats = settle(sets.select("doc_id", "source", "lang", topic_of("bits", topics, docs.sparkSession).alias("topic"), "tokens"))
     rows = with_probability(stats, plan(stats, keep, targets))
     return rows.select("doc_id", "source", "lang", "topic", "tokens", "probability", drawn("doc_id", seed).cast("long").alias("sampled"))
 
@@ -248,8 +378,10 @@ def sample(docs: DataFrame, keep: float = KEEP, targets: dict[str, dict] | None
     Texts are measured once: the rows are settled with what was measured. Defined cases are those of ``mix``.
     """
     text = F.col("text").cast("string")
-    chosen = docs.select(F.struct("*").alias("row"), "doc_id", "source", "lang", measured(text, fit_topics(docs.select(text)), docs.sparkSession).alias("m"))
-    rows = settle(chosen.select("row", "doc_id", "source", "lang", "m.topic", "m.tokens"))
+    chosen = docs.select(F.struct("*").alias("row"), "doc_id", "source", "lang", counted(text).alias("m"))
+    sets = settle(chosen.select("row", "doc_id", "source", "lang", "m.bits", "m.tokens"))
+    topics = fit_topics(sets.select("bits"))
+    rows = sets.withColumn("topic", topic_of("bits", topics, docs.sparkSession)).drop("bits")
     return with_probability(rows, plan(rows.drop("row"), keep, targets)).where(drawn("doc_id", seed)).select("row.*")
 
 
