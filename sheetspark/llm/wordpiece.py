@@ -9,12 +9,13 @@ special tokens) go through the tokenizer as a whole, so ids are the tokenizer's
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 
 import numpy as np
 
-#: Words remembered by one Python worker, in each of two generations. It bounds memory only.
-REMEMBERED = 80_000
+#: Words and pieces remembered by one Python worker, in each of two generations. It bounds memory only.
+REMEMBERED = 120_000
 #: Code points handled here; whatever lies beyond goes to the tokenizer as a whole.
 LATIN = 0x250
 
@@ -22,26 +23,34 @@ _letters = "".join(chr(c) for c in range(LATIN) if unicodedata.category(chr(c))[
 _numbers = "".join(chr(c) for c in range(LATIN) if unicodedata.category(chr(c))[0] == "N")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_numbers}]|[^\\s{_letters}{_numbers}]+")
 _ODD = re.compile(f"[^\\t-\\r -~\\x85\\xa0-{chr(LATIN - 1)}]|<\\||İ|ŉ|ǰ")
+#: The same characters up to U+00FF.
+_ODD_BYTES = bytes(c for c in range(256) if _ODD.match(chr(c)))
 
 
-class Remembered:
-    """A look-up table of two generations: what is used stays, the rest goes when the young one is full."""
+class Remembered(dict):
+    """What ``learn`` gives for a key, in two generations: what is used stays, the rest goes when the young one is full."""
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+    def __init__(self, learn, limit: int):
+        self.learn, self.limit, self.old = learn, limit, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Those of ``keys`` not known; known ones move to the young generation."""
-        if len(self.young) + len(keys) > self.limit:
-            self.old, self.young = self.young, {}
-        new = []
-        for k in keys:
-            if (v := self.old.get(k)) is None:
-                if k not in self.young:
-                    new.append(k)
-            else:
-                self.young[k] = v
-        return new
+    def __missing__(self, key: str) -> bytes:
+        if (value := self.old.get(key)) is None:
+            value = self.learn(key)
+        if len(self) >= self.limit:
+            self.old.clear()
+            self.old.update(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def is_odd(text: str) -> bool:
+    """Whether the tokenizer has to take the text as a whole."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _ODD.search(text) is not None
+    return b"<|" in raw or len(raw.translate(None, _ODD_BYTES)) < len(raw)
 
 
 class WordIds:
@@ -53,30 +62,22 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        #: Each character below LATIN as the characters that stand for its bytes in the vocabulary.
+        #: Each character below LATIN as the characters that stand for its bytes in the vocabulary; those of words in ASCII stand for themselves.
         self.spelled = {c: spell(chr(c))[0][0] for c in range(LATIN)}
-        self.chunks, self.pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        #: Ids of words and of the pieces of such as have several; a piece alone is a word of one piece.
+        self.known = Remembered(self._ids, REMEMBERED)
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if is_odd(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        words = text.lower().split()
-        found = list(map(self.chunks.young.get, words))
-        if None in found:
-            self._learn({w for w, ids in zip(words, found) if ids is None})
-            known = self.chunks.young
-            found = [known[w] if w in known else self.chunks.old[w] for w in words]
-        return b"".join(found)
-
-    def _learn(self, words: set[str]) -> None:
-        split = {w: _PIECE.findall(w) for w in self.chunks.missing(words)}
-        for p in self.pieces.missing({p for ps in split.values() for p in ps}):
-            ids = [t.id for t in self.model.tokenize(p.translate(self.spelled))]
-            self.pieces.young[p] = np.array(ids, "<u4").tobytes()
-        known = self.pieces.young
-        self.chunks.young.update((w, b"".join([known[p] for p in ps])) for w, ps in split.items())
+        # below LATIN every text is in normal form C
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
+
+    def _ids(self, word: str) -> bytes:
+        if not word.isalpha() and (pieces := _PIECE.findall(word)) != [word]:
+            return b"".join(map(self.known.__getitem__, pieces))
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelled))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _loaded: dict[str, WordIds] = {}

@@ -1,5 +1,6 @@
 import itertools
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ import numpy as np
 
 from sheetspark.llm.common import tokenizer_path
 from sheetspark.llm.packing import Packer, closest_multiset, pack
-from sheetspark.llm.wordpiece import WordIds
+from sheetspark.llm.wordpiece import _ODD, Remembered, WordIds, is_odd
 
 
 def check(pieces, documents, window):
@@ -66,3 +67,31 @@ def test_pack_table(spark):
     got = [tuple(r) for r in pack(df).collect()]
     check(got, {i: words.encode(t or "") + (2).to_bytes(4, "little") for i, t in texts.items()}, 4096)
     assert pack(df.limit(0)).count() == 0
+
+
+def test_word_ids_cost_one_look_up_a_word_and_one_call_a_new_piece():
+    words, asked = WordIds(tokenizer_path("word_bpe_49k.json")), []
+    assert all(words.spelled[c] == chr(c) for c in range(0x21, 0x7F))
+    model, words.model = words.model, type("Model", (), {"tokenize": lambda _, p: asked.append(p) or model.tokenize(p)})()
+    texts = ["Heated words, heated", "words heated; é words."] * 3
+    for text in texts:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == sorted(set(asked)) and len(asked) == 6
+    assert {w for t in texts for w in t.lower().split()} <= set(words.known)
+
+
+def test_remembered_words_are_bounded_and_right():
+    learned = []
+    known = Remembered(lambda k: learned.append(k) or k.encode(), 3)
+    for key in "abcabcdabeabfgaxya":
+        assert known[key] == key.encode()
+        assert len(known) <= 3 and len(known.old) <= 3
+    assert learned.count("a") == 1  # what is used stays
+
+
+def test_odd_texts_are_those_of_the_pattern():
+    for c in map(chr, range(0x300)):
+        for text in (c, f"a{c}b", f"日{c}", f"ā{c}"):
+            assert is_odd(text) == bool(_ODD.search(text))
+            assert is_odd(text) or unicodedata.is_normalized("NFC", text * 2)
+    assert is_odd("a <|x|>") and not is_odd("a < | b") and is_odd("\ud800")
