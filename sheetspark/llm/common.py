@@ -114,11 +114,11 @@ def text_batches(batches: Iterator, limit: int = 8 << 20) -> Iterator:
             end = max(begin + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
-    """Hand freed memory back to the system: workers live on, and what one task held would stay with them."""
+def give_back() -> None:
+    """Hand freed memory back to the system: workers and the driver live on, and what one task or fit held would stay with them."""
     import ctypes
 
     import pyarrow as pa

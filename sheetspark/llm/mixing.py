@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_slices
+from .common import give_back, settle, text_slices
 
 TOPICS = 8
 #: Counters that words are hashed to; a set of them is as many bits.
@@ -192,7 +192,10 @@ def fit_topics(bits: DataFrame, few: int = FEW) -> Topics:
     """Topics of a settled column of sets of counters, of all that are different and not empty; ``few`` reach the driver at most."""
     sets = bits.toDF("bits").where("bits is not null").distinct()
     found = [bytes(r["bits"]) for r in sets.limit(few + 1).collect()]
-    return cluster_sets(_Sets(sorted(found) if len(found) <= few else settle(sets)))
+    topics = cluster_sets(_Sets(sorted(found) if len(found) <= few else settle(sets)))
+    del found
+    give_back()
+    return topics
 
 
 def measure(text: str | None, topics: Topics | None = None) -> tuple[int, int]:

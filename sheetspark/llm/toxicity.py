@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_batches, text_slices
+from .common import give_back, pick, text_batches, text_slices
 from .linear import Rows, fit, out_of_fold, sigmoid
 
 #: Labelled documents used for training at most.
@@ -137,21 +137,30 @@ class Chain:
         return out
 
 
+def common_features(features: list[np.ndarray]) -> np.ndarray:
+    """Features of at least three rows and of fewer than nine tenths of them, in order; a row has a feature once."""
+    everything = np.concatenate([np.zeros(0, np.uint32), *features])
+    everything.sort()
+    names = np.unique(everything[2:][everything[2:] == everything[:-2]])
+    counts = np.searchsorted(everything, names, "right") - np.searchsorted(everything, names)
+    return names[counts < 0.9 * max(1, len(features))]
+
+
 def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: list[str], penalty: float = PENALTY, folds: int = 4) -> Chain:
     """A chain over rows of feature hashes; ``labels`` is rows x categories, 0 or 1.
 
     Features in fewer than three rows are left out. Rows with the same features are in one fold.
     """
-    everything = np.concatenate(features) if features else np.zeros(0, np.uint32)
-    names, counts = np.unique(everything, return_counts=True)
-    names = names[(counts >= 3) & (counts < 0.9 * max(1, len(features)))]
-    columns = []
+    n, names, columns, fold = len(features), common_features(features), [], []
     for f in features:
         at = np.searchsorted(names, f)
         at[at == len(names)] = 0
-        columns.append(at[names[at] == f] if len(names) else np.zeros(0, np.int64))
-    fold = np.array([zlib.crc32(c.tobytes()) % folds for c in columns]) if columns else np.zeros(0, int)
-    earlier, models = np.zeros((len(features), 0)), []
+        column = at[names[at] == f] if len(names) else np.zeros(0, np.int64)
+        fold.append(zlib.crc32(column.tobytes()) % folds)
+        columns.append(column.astype(np.int32))
+    del features  # the driver holds them twice no longer than it has to
+    fold = np.array(fold, int)
+    earlier, models = np.zeros((n, 0)), []
     for k, _ in enumerate(categories):
         y = labels[:, k].astype(float)
 
@@ -168,7 +177,7 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: list[s
         def x_of(rows, dense=earlier, narrow=narrow, width=len(screened)):
             return Rows([narrow[i] for i in rows], width, dense[rows])
 
-        w, b = fit(x_of(np.arange(len(features))), y, penalty)
+        w, b = fit(x_of(np.arange(n)), y, penalty)
         kept = np.flatnonzero(w[: len(screened)])
         models.append(({int(names[screened[i]]): float(w[i]) for i in kept}, [float(v) for v in w[len(screened) :]], float(b)))
         if k + 1 < len(categories):
@@ -200,7 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     fields = ", ".join(f"y{k} {labelled.schema[f'y{k}'].dataType.simpleString()}" for k in range(len(categories)))
     rows = sorted(texts.mapInArrow(run, f"f binary, {fields}").collect(), key=tuple)
     y = np.array([[int(r[1 + k] > 0) for k in range(len(categories))] for r in rows]).reshape(len(rows), len(categories))
-    return fit_chain([np.frombuffer(bytes(r[0]), "<u4") for r in rows], y, categories, penalty)
+    chain = fit_chain([np.frombuffer(bytes(rows.pop()[0]), "<u4") for _ in range(len(rows))][::-1], y, categories, penalty)
+    give_back()
+    return chain
 
 
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -91,3 +92,24 @@ def test_categories_come_from_the_label_table(spark):
     labels = spark.createDataFrame([(1, 0, 1, 0, 1)], "doc_id long, quality int, insult int, threat int, toxic int")
     made, names = toxicity.category_labels(labels)
     assert names == ["low_quality", "insult", "threat", "toxic"] and made.first()[1:] == (1, 1, 0, 1)
+
+
+def test_training_holds_little_beside_its_features():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(np.concatenate([rng.integers(0, 4000, 300, np.uint32), rng.integers(0, 1 << 32, 700, np.uint32)])) for _ in range(600)]
+    labels = np.array([[int(7 in f)] for f in rows])
+    tracemalloc.start()
+    toxicity.fit_chain(rows, labels, ["toxic"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * sum(f.nbytes for f in rows)
+
+
+def test_common_features_are_those_of_three_rows_and_not_nearly_all():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 5, 40):
+        rows = [np.unique(rng.integers(0, 30, rng.integers(0, 25), np.uint32)) for _ in range(n)]
+        counts = Counter(int(x) for f in rows for x in f)
+        assert toxicity.common_features(rows).tolist() == sorted(x for x, k in counts.items() if k >= 3 and k < 0.9 * n)
