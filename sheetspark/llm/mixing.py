@@ -222,7 +222,10 @@ def counted(text):
 
 
 def topic_of(bits, topics: Topics, spark):
-    """A column: the topic of a column of sets of counters; 0 for null."""
+    """A column: the topic of a column of sets of counters; 0 for null.
+
+    A filter that a join derives for it must not run it again: each run in a plan has a Python worker of its own.
+    """
     shared = spark.sparkContext.broadcast(topics)
 
     @F.arrow_udf("int")
@@ -237,7 +240,7 @@ def topic_of(bits, topics: Topics, spark):
                 out[i : i + CHUNK][there] = (_unpacked([s for s in some if s is not None]) @ weights.T).argmax(1)
         return pa.array(out)
 
-    return run(bits)
+    return run.asNondeterministic()(bits)
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray], keep: float, rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
@@ -339,11 +342,15 @@ def fit(cells: list[tuple[str, str, int, int]], keep: float, targets: dict[str,
 
 def plan(stats: DataFrame, keep: float = KEEP, targets: dict[str, dict] | None = None, local: int = LOCAL) -> DataFrame:
     """(source_class, lang_class, topic, probability) of a table (source, lang, topic, tokens); at most ``local`` cells reach the driver."""
+    import pyarrow as pa
+
     cells = settle(stats.groupBy(named("source").alias("source"), named("lang").alias("lang"), "topic").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")))
     few = cells.limit(local + 1).collect()
     if len(few) <= local:
         rows = fit([tuple(r) for r in few], keep, targets)
-        return F.broadcast(stats.sparkSession.createDataFrame(rows, "source_class string, lang_class string, topic int, probability double"))
+        columns = zip(("source_class", "lang_class", "topic", "probability"), (pa.string(), pa.string(), pa.int32(), pa.float64()))
+        # rows as a list would go through Python workers, which stay
+        return F.broadcast(stats.sparkSession.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(columns)})))
     probability = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(F.lit(float(keep)))
     return rake_table(cells, keep, targets).select(F.col("source").alias("source_class"), F.col("lang").alias("lang_class"), "topic", probability.alias("probability"))
 
